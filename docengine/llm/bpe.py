@@ -14,12 +14,11 @@ megabytes costs O(n log n). Matches repeat, so each worker keeps the ids of up t
 in one binary value. Null texts count as empty; an empty text has no ids.
 """
 
-from __future__ import annotations
-
 import base64
 import heapq
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,7 +107,8 @@ class Coder:
     def span(self, piece: bytes) -> list[int]:
         if len(piece) <= self.leaf:
             return self.leaf_ids(piece)
-        half = len(piece) // 2
+        # a power of two near the middle keeps long runs of one token in step on both sides
+        half = 1 << ((len(piece) - 1).bit_length() - 1)
         return self.join(self.span(piece[:half]), self.span(piece[half:]))
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
@@ -160,16 +160,12 @@ def codec(spark, path: str, pattern: str):
     shared = spark.sparkContext.broadcast(read_ranks(path))
 
     @arrow_udf("binary")
-    def encode(texts: "pa.Array") -> "pa.Array":  # noqa: F821
-        import pyarrow as pa
-
+    def encode(texts: pa.Array) -> pa.Array:
         coder = coder_of(shared, pattern)
         return pa.array([coder.encode(x.as_py() or "") for x in texts], pa.binary())
 
     @arrow_udf("binary")
-    def decode(ids: "pa.Array") -> "pa.Array":  # noqa: F821
-        import pyarrow as pa
-
+    def decode(ids: pa.Array) -> pa.Array:
         coder = coder_of(shared, pattern)
         return pa.array([coder.decode(x.as_py() or b"") for x in ids], pa.binary())
 

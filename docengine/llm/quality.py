@@ -78,7 +78,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_marks": count("!?"),
             "n_lines": F.size(lines).cast("long"),
             "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-            "n_repeat_words": let(words_of(F.col("cut")), repeated_words),
+            "n_repeat_words": let(words_of(F.col("cut")), lambda w: repeated_words(w)),
         }
     )
     per = lambda x, y: F.when(F.col(y) > 0, F.col(x) / F.col(y)).otherwise(0.0)
