@@ -25,7 +25,7 @@ from docengine.llm.words import n_pieces, pieces, words_of
 #: Words in a window that must not repeat.
 WINDOW = 8
 #: Statistics that rules may test; each is a ratio or a length and so independent of the size of a text.
-FEATURES = ("n_words", "mean_word", "symbol_ratio", "upper_ratio", "digit_ratio", "mark_ratio", "dup_line_ratio", "repeat_ratio", "line_words")
+FEATURES = ("n_words", "mean_word", "symbol_ratio", "upper_ratio", "digit_ratio", "mark_ratio", "dup_line_ratio", "repeat_ratio", "stutter_ratio", "line_words")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -76,6 +76,8 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_upper": count(r"\p{Lu}"),
             "n_digits": count("0-9"),
             "n_marks": count("!?"),
+            # words equal to the word before them
+            "n_stutters": let(words_of(F.col("cut")), lambda w: F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1)))),
             "n_lines": F.size(lines).cast("long"),
             "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
             "n_repeat_words": let(words_of(F.col("cut")), lambda w: repeated_words(w)),
@@ -91,6 +93,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "mark_ratio": per("n_marks", "word_chars"),
         "dup_line_ratio": per("n_dup_lines", "n_lines"),
         "repeat_ratio": per("n_repeat_words", "n_words"),
+        "stutter_ratio": per("n_stutters", "n_words"),
         "line_words": per("n_words", "n_lines"),
     }
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from docengine.llm import bpe, mixing, quality
+from docengine.llm import bpe, merkle, mixing, quality, urls
 
 
 def queries() -> dict:
     return {
+        "op2_url_filter": urls.op2_url_filter,
+        "op3_merkle_fingerprints": merkle.op3_merkle_fingerprints,
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_mix_sources": mixing.op7_mix_sources,
         "op8_byte_bpe": bpe.op8_byte_bpe,
