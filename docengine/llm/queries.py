@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from docengine.llm import bpe, merkle, mixing, quality, urls
+from docengine.llm import bpe, merkle, mixing, quality, simhash, urls
 
 
 def queries() -> dict:
     return {
+        "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
         "op2_url_filter": urls.op2_url_filter,
         "op3_merkle_fingerprints": merkle.op3_merkle_fingerprints,
         "op6_quality_rules": quality.op6_quality_rules,
