@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docengine.llm import bpe, merkle, mixing, quality, simhash, urls
+from docengine.llm import bpe, html, langid, merkle, mixing, quality, simhash, urls
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
         "op2_url_filter": urls.op2_url_filter,
         "op3_merkle_fingerprints": merkle.op3_merkle_fingerprints,
+        "op4_html_main_text": html.op4_html_main_text,
+        "op5_language_id": langid.op5_language_id,
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_mix_sources": mixing.op7_mix_sources,
         "op8_byte_bpe": bpe.op8_byte_bpe,
