@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docengine.llm import bpe, html, langid, merkle, mixing, quality, simhash, urls
+from docengine.llm import bpe, html, langid, licenses, merkle, mixing, ngrams, quality, simhash, urls
 
 
 def queries() -> dict:
@@ -15,6 +15,8 @@ def queries() -> dict:
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_mix_sources": mixing.op7_mix_sources,
         "op8_byte_bpe": bpe.op8_byte_bpe,
+        "op9_license_scan": licenses.op9_license_scan,
+        "op10_lm_score": ngrams.op10_lm_score,
     }
 
 
