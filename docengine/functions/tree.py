@@ -412,7 +412,7 @@ def canonical(node: Node) -> str:
         i, d, b = typed(node)
         if i is not None or d is not None:
             value = float(i if i is not None else d)
-            return f"n{int(value)}" if value.is_integer() and abs(value) < 2**53 else f"n{i}" if i is not None else f"n{value!r}"
+            return f"n{i}" if i is not None else f"n{int(value)}" if value.is_integer() and abs(value) < 2**63 else f"n{value!r}"
         if b is not None:
             return "t" if b else "f"
         return "0" if node.tag_id == R.NULL else "s" + quote(node.text)
