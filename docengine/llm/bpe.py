@@ -1,7 +1,8 @@
 """Byte-level BPE as a reduction over a monoid of token sequences.
 
 A text is a tree: its pattern matches at the top, halves of long matches below, and
-spans of at most ``LEAF`` bytes at the bottom, which a plain merge loop encodes. Two
+spans of at most ``LEAF`` bytes at the bottom, which are guessed and proved, or encoded by
+a plain merge loop. Two
 neighbours are joined by encoding again a window of tokens about their boundary. The
 window grows until the tokens at its edges are compatible with those outside: a pair
 of tokens is compatible if its bytes encode to just that pair. A sequence whose
@@ -9,8 +10,8 @@ neighbouring pairs are all compatible is the encoding of its bytes, so what lies
 outside the window is then stable. Decoding concatenates up the tree.
 
 Work of a join depends on the window, not on the length of a match, so a match of
-megabytes costs O(n log n). Matches repeat, so each worker keeps the ids of up to
-``cache`` of the short ones. Ids are kept as little-endian unsigned 32-bit integers
+megabytes costs O(n log n). Matches repeat, and so do words with the marks about them, so
+each worker keeps the ids of up to ``cache`` short ones of either. Ids are kept as little-endian unsigned 32-bit integers
 in one binary value. Null texts count as empty; an empty text has no ids.
 """
 
@@ -23,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAF = 24
+#: Marks that may follow a word.
+MARKS = ".,;:!?#$%&*|)"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -30,10 +33,28 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
 
 
+class Known(dict):
+    """Results of ``make`` by its argument. At ``most`` entries they become the older half, and what is asked for again is kept."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.older = make, max(1, most // 2), {}
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(key) <= 48:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = got
+        return got
+
+
 class Coder:
     """Encodes and decodes by ``ranks`` (token bytes to id; a lower id merges first)."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF, cache: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF, cache: int = 500_000):
         import regex
 
         self.ranks, self.leaf = ranks, leaf
@@ -42,18 +63,20 @@ class Coder:
             self.tokens[i] = token
         # \s of the pattern is Unicode's White_Space, which leaves out the separators U+001C to U+001F
         self.matches = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.fits = lru_cache(1 << 18)(self._fits)
+        self.fits = lru_cache(1 << 19)(self._fits)
 
-        class Known(dict):
-            def __missing__(known, piece: str) -> bytes:
-                got = self.packed(piece.encode("utf-8"))
-                if len(piece) <= 48:
-                    if len(known) >= cache:
-                        known.clear()
-                    known[piece] = got
-                return got
+        self.known = Known(lambda piece: self.packed(piece.encode("utf-8")), cache)
+        self.chunks = Known(self.chunk, cache)
 
-        self.known = Known()
+    def chunk(self, part: str) -> bytes:
+        """Ids of a space and ``part``, or of a part that begins with a line feed."""
+        if part.isalpha():
+            return self.packed(b" " + part.encode("utf-8"))
+        core = part.rstrip(MARKS)
+        if core.isalpha():
+            # letters are one match, the marks after them another
+            return self.chunks[core] + self.known[part[len(core) :]]
+        return self.flat(part if part[:1] == "\n" else " " + part)
 
     def packed(self, piece: bytes) -> bytes:
         i = self.ranks.get(piece)
@@ -65,21 +88,18 @@ class Coder:
         ranks, n = self.ranks, len(span)
         if n > 4 * self.leaf:
             return self.heap_ids(span)
+        never = len(self.tokens)
         parts = [span[i : i + 1] for i in range(n)]
-        pairs = [ranks.get(span[i : i + 2]) for i in range(n - 1)]
-        while True:
-            best, at = None, -1
-            for i, r in enumerate(pairs):
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                return [ranks[p] for p in parts]
+        pairs = [ranks.get(span[i : i + 2], never) for i in range(n - 1)]
+        while pairs and (best := min(pairs)) < never:
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
             del pairs[at]
             if at < len(pairs):
-                pairs[at] = ranks.get(parts[at] + parts[at + 1])
+                pairs[at] = ranks.get(parts[at] + parts[at + 1], never)
             if at:
-                pairs[at - 1] = ranks.get(parts[at - 1] + parts[at])
+                pairs[at - 1] = ranks.get(parts[at - 1] + parts[at], never)
+        return [ranks[p] for p in parts]
 
     def heap_ids(self, span: bytes) -> list[int]:
         """As ``leaf_ids``, for wide windows."""
@@ -104,9 +124,36 @@ class Coder:
     def _fits(self, a: int, b: int) -> bool:
         return self.leaf_ids(self.tokens[a] + self.tokens[b]) == [a, b]
 
+    def guessed(self, span: bytes) -> list[int] | None:
+        """A way through ``span`` by compatible neighbours, which then is its encoding; the longest token is tried first.
+
+        An encoding of a prefix is one of a kind, so a position that has led nowhere is dead for good.
+        """
+        ids, starts, dead, fits, get, n = [], [], set(), self.fits, self.ranks.get, len(span)
+        i, end = 0, min(n, 12)
+        while i < n:
+            while end > i:
+                token = get(span[i:end])
+                if token is not None and end not in dead and (not ids or fits(ids[-1], token)):
+                    break
+                end -= 1
+            else:
+                dead.add(i)
+                if not ids:
+                    return None
+                ids.pop()
+                end = i - 1
+                i = starts.pop()
+                continue
+            ids.append(token)
+            starts.append(i)
+            i = end
+            end = i + 12 if i + 12 < n else n
+        return ids
+
     def span(self, piece: bytes) -> list[int]:
         if len(piece) <= self.leaf:
-            return self.leaf_ids(piece)
+            return self.guessed(piece) or self.leaf_ids(piece)
         # a power of two near the middle keeps long runs of one token in step on both sides
         half = 1 << ((len(piece) - 1).bit_length() - 1)
         return self.join(self.span(piece[:half]), self.span(piece[half:]))
@@ -129,9 +176,16 @@ class Coder:
         half = len(ids) // 2
         return self.decoded(ids[:half]) + self.decoded(ids[half:])
 
-    def encode(self, text: str) -> bytes:
+    def flat(self, text: str) -> bytes:
         return b"".join(map(self.known.__getitem__, self.matches(text)))
 
+    def encode(self, text: str) -> bytes:
+        """Ids of a text. A single space or line feed between two other characters always begins a match."""
+        if "  " in text or "\n\n" in text or "\n " in text or " \n" in text or text[-1:] in "\n " or not text.replace("\n", "").isprintable():
+            return self.flat(text)
+        first, *parts = text.replace("\n", " \n").split(" ")
+        return self.flat(first) + b"".join(map(self.chunks.__getitem__, parts))
+
     def decode(self, ids: bytes) -> bytes:
         import numpy as np
 
