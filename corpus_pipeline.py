@@ -15,7 +15,7 @@ LEAST_LANGUAGE_SCORE = 0.5
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rule nor the learned decision list rejects."""
     rules = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
-    return quality.judge(docs, rules).where("kept").select(*docs.columns)
+    return quality.keep(docs, rules)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -180,9 +180,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     sample = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(max_labelled))
     seen = statistics(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(sample, "id"))
     values = [F.col(f"stats.{x}").cast("double") for x in FEATURES]
-    # texts that the base rule rejects teach the list nothing
-    got = seen.where("not stats.base_failed").select("id", "good", F.array(*values).alias("x")).collect()
-    got = sorted({(r["id"], r["good"], tuple(r["x"])) for r in got})
+    # texts that the base rule rejects teach the list nothing; a filter here would compute the statistics twice
+    got = seen.select("id", "good", F.array(*values).alias("x"), F.col("stats.base_failed").alias("failed")).collect()
+    got = sorted({(r["id"], r["good"], tuple(r["x"])) for r in got if not r["failed"]})
     return learn([x for _, _, x in got], [good == 0 for _, good, _ in got], **options)
 
 
@@ -202,6 +202,15 @@ def judge(docs: DataFrame, rules: list[tuple[Test, ...]], text: str = "text") ->
     return statistics(docs, text).withColumn("kept", verdict(rules))
 
 
+def keep(docs: DataFrame, rules: list[tuple[Test, ...]], text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that no rule rejects.
+
+    The row number keeps Spark from moving the filter below the statistics, where it would compute them again.
+    """
+    judged = judge(docs, rules, text).withColumn("__at", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("__at") >= 0)).select(*(f"`{c}`" for c in docs.columns))
+
+
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rules = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
