@@ -98,7 +98,8 @@ def mix(
     # a row is in if its middle is below the need
     last = counted(known.where(here)).withColumn("upto", upto).withColumn("more", 2 * (F.col("before") + F.col("upto")) - F.col("size") <= 2 * F.col("need")).drop("upto")
     times: Column = F.col("whole") + F.col("more").cast("int")
-    return sure.unionByName(last).select("row.*", F.struct("size", "source_size", "target", times.alias("times")).alias("mix"))
+    rest = [F.col("row")[c].alias(c) for c in docs.columns if c != "mix"]
+    return sure.unionByName(last).select(*rest, F.struct("size", "source_size", "target", times.alias("times")).alias("mix"))
 
 
 def repeated(mixed: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a struct ``stats`` of counts and ratios of the whole text."""
+    """``docs`` with a struct ``stats`` of counts and ratios of the whole text; a column of that name is replaced."""
     whole = F.coalesce(F.col("__text"), F.lit(""))
     count = lambda keep: F.length(F.regexp_replace(whole, f"[^{keep}]+", "")).cast("long")
     lines = F.col("__lines")
@@ -97,7 +97,8 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "line_words": per("n_words", "n_lines"),
     }
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return df.select("row.*", F.struct(*counts, *(v.alias(k) for k, v in ratios.items()), failed.alias("base_failed")).alias("stats"))
+    rest = [F.col("row")[c].alias(c) for c in docs.columns if c != "stats"]
+    return df.select(*rest, F.struct(*counts, *(v.alias(k) for k, v in ratios.items()), failed.alias("base_failed")).alias("stats"))
 
 
 @dataclass(frozen=True)
@@ -114,7 +115,7 @@ class Test:
         return f"{self.feature} {'>' if self.above else '<='} {self.bound:.6g}"
 
 
-def learn(rows: list[tuple], bad: list[bool], min_precision: float = 0.9, max_rules: int = 12, max_tests: int = 4, cuts: int = 48) -> list[tuple[Test, ...]]:
+def learn(rows: list[tuple], bad: list[bool], min_precision: float = 0.9, max_rules: int = 12, max_tests: int = 4, cuts: int = 128) -> list[tuple[Test, ...]]:
     """Ordered rules that find ``bad`` rows; ``rows`` hold the values of FEATURES."""
     import numpy as np
 
@@ -207,8 +208,9 @@ def keep(docs: DataFrame, rules: list[tuple[Test, ...]], text: str = "text") ->
 
     The row number keeps Spark from moving the filter below the statistics, where it would compute them again.
     """
-    judged = judge(docs, rules, text).withColumn("__at", F.monotonically_increasing_id())
-    return judged.where(F.col("kept") & (F.col("__at") >= 0)).select(*(f"`{c}`" for c in docs.columns))
+    rows = docs.select(F.struct("*").alias("doc"), F.col(text).alias("text"))
+    judged = judge(rows, rules).withColumn("__at", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("__at") >= 0)).select("doc.*")
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:

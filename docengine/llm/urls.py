@@ -127,7 +127,8 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES, support: int = 4) ->
     least = threshold([tuple(map(int, x)) for x in bins])
     out = rows.join(scores, "shape", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     verdict = F.coalesce("best.verdict", F.when(F.col("score") >= least, "allow").otherwise("block"))
-    return out.select("row.*", F.struct("host", "path", F.col("best.rule").alias("rule"), "score", verdict.alias("verdict")).alias("verdict"))
+    rest = [F.col("row")[c].alias(c) for c in pages.columns if c != "verdict"]
+    return out.select(*rest, F.struct("host", "path", F.col("best.rule").alias("rule"), "score", verdict.alias("verdict")).alias("verdict"))
 
 
 def op2_url_filter(spark, sf_dir: str) -> DataFrame:
