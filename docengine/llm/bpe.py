@@ -43,7 +43,8 @@ class Known(dict):
         got = self.older.get(key)
         if got is None:
             got = self.make(key)
-        if len(key) <= 48:
+        # a word with marks is put together again from the word; caching it would push out other words
+        if len(key) <= 48 and not (key[0].isalpha() and key[-1] in MARKS):
             if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
@@ -54,7 +55,7 @@ class Known(dict):
 class Coder:
     """Encodes and decodes by ``ranks`` (token bytes to id; a lower id merges first)."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF, cache: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF, cache: int = 800_000):
         import regex
 
         self.ranks, self.leaf = ranks, leaf
@@ -63,9 +64,9 @@ class Coder:
             self.tokens[i] = token
         # \s of the pattern is Unicode's White_Space, which leaves out the separators U+001C to U+001F
         self.matches = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.fits = lru_cache(1 << 19)(self._fits)
+        self.fits = lru_cache(1 << 18)(self._fits)
 
-        self.known = Known(lambda piece: self.packed(piece.encode("utf-8")), cache)
+        self.known = Known(lambda piece: self.packed(piece.encode("utf-8")), cache // 4)
         self.chunks = Known(self.chunk, cache)
 
     def chunk(self, part: str) -> bytes:
