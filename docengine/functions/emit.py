@@ -179,7 +179,7 @@ class Writer:
             out = self.text(node, max(pad, self.indent if pad < 0 else pad), False)
             return f"{head} {out}" if out else head
         if node.flow or not node.items:
-            out = self.flow(node, max(pad, 0) + self.indent)
+            out = self.flow(node, pad if pad > 0 else self.indent)
             return f" {out}"
         lines = self.entries(node, max(pad, 0))
         return head + "\n" + lines

@@ -119,7 +119,7 @@ def leaf_value(node: tr.Node, kind: str):
         return b
     if kind == "int":
         return i
-    return d if d is not None else None if i is None else float(i)
+    return d if d is not None else R.to_float(node.text) if node.tag_id == R.INT else None
 
 
 def walk(root: tr.Node, plan: Plan) -> list[dict] | None:
