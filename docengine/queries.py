@@ -50,7 +50,7 @@ def order_yaml(spark, sf_dir) -> DataFrame:
     c = F.col
     o = table(spark, sf_dir, "orders")
     body = text("key: ", c("o_orderkey"), "\ncust: ", c("o_custkey"), "\nstatus: ", c("o_orderstatus"), "\nprio: '", c("o_orderpriority"), "'\ntags: [x, ", c("o_orderstatus"), "]\n")
-    return o.select("o_orderkey", body.alias("doc"))
+    return tables.spread(o.select("o_orderkey", body.alias("doc")))
 
 
 # extraction plans
