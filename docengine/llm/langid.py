@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docengine.llm.sampling import smallest
+
 HIDDEN = 8
 BLOCK = 256
 BLOCK_TRAIN = 64
@@ -192,7 +194,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     at = F.pmod(h, F.greatest(F.length(text) - BLOCK_TRAIN, F.lit(1))).cast("int") + 1
     known = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     rows = known.select(h.alias("h"), F.col(lang).alias("lang"), F.substr(text, at, F.lit(BLOCK_TRAIN)).alias("part"))
-    got = rows.orderBy("h", "lang", "part").limit(max_labelled).collect()
+    n = docs.where(F.col(lang).isNotNull()).count()
+    got = smallest(rows, "h", max_labelled, n, "lang", "part").collect()
     return train([r["part"].encode() for r in got], [r["lang"] for r in got], **options) if got else None
 
 
