@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mix_sources": mixing.OP7_SQL}
+    return {"op2_url_filter": urls.OP2_SQL, "op7_mix_sources": mixing.OP7_SQL}
