@@ -22,6 +22,10 @@ squared, and no link between different components is lost.
 
 Components: least reachable ids spread along the links, with pointer jumping, in rounds
 of joins and aggregations over written tables, until nothing changes.
+
+This is the contract of op1. ``near_duplicates``, of the pipeline, asks for more: all pairs with a
+Jaccard similarity of 5-word shingles of 0.8, which differ in about 10 of 64 bits, where blocks of a
+fingerprint are too short to be keys. It compares the sets of shingles, by ``similar_links``.
 """
 
 from __future__ import annotations
@@ -36,17 +40,24 @@ from pyspark.sql import types as T
 
 from docengine.shared import broadcast_if, materialize
 
+#: Words of a shingle and differing bits of a link of the fingerprints of op1.
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
+#: Words of a shingle and least Jaccard similarity of near duplicates.
+WORDS = 5
+SIMILARITY = 0.8
+#: Sets of shingles that are counted, and shingles kept, to know the frequent ones.
+COUNTED = 20_000
+FREQUENT = 10_000
 #: Fingerprints of a bucket that one task compares with themselves or with those of another part.
 SPLIT = 2048
 #: Pairs of fingerprint and group held at once.
 CHUNK = 1 << 15
 
 
-def fingerprint(text: str | None) -> int:
-    """The 64-bit SimHash of a text."""
+def shingles(text: str | None, words: int = SHINGLE):
+    """The hashes of a text's shingles, repeats included; empty for a text without words."""
     import re
 
     import numpy as np
@@ -54,14 +65,21 @@ def fingerprint(text: str | None) -> int:
 
     upper = bytes(range(65, 91))
     raw = (text or "").encode("utf-8").translate(bytes.maketrans(upper, upper.lower()))
-    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
-    if not words:
-        return 0
-    if len(words) < SHINGLE:
-        shingles = [b" ".join(words)]
+    found = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    if len(found) < words:
+        parts = [b" ".join(found)] if found else []
     else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)), strict=False))
-    hashes = np.array([xxh64_intdigest(s, SEED) for s in shingles], dtype="<u8")
+        parts = map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False))
+    return np.array([xxh64_intdigest(s, SEED) for s in parts], dtype="<u8")
+
+
+def fingerprint(text: str | None) -> int:
+    """The 64-bit SimHash of a text."""
+    import numpy as np
+
+    hashes = shingles(text)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 14):
         ones += np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -323,8 +341,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for each row of ``docs``; component_id is the least id of the component.
+def near_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id) for each row of ``docs``, linked by fingerprints; component_id is the least id of the component.
 
     Rows with equal ids count as one document; a null id is no component's name unless no other is there.
     """
@@ -341,7 +359,105 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return marked.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) of sets whose Jaccard similarity is ``similarity`` at least."""
+
+    @F.arrow_udf("boolean")
+    def alike(left: pa.Array, right: pa.Array) -> pa.Array:
+        import numpy as np
+
+        out = []
+        for x, y in zip(left, right, strict=True):
+            x, y = x.values.to_numpy(), y.values.to_numpy()
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+        return pa.array(out, pa.bool_())
+
+    first, second = (sets.select(F.col("v").alias(c), F.col("hashes").alias(f"of_{c}")) for c in "ab")
+    return pairs.join(first, "a").join(second, "b").where(alike("of_a", "of_b")).select("a", "b")
+
+
+def similar_links(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) that connect ``sets`` (v, hashes) as all pairs of Jaccard ``similarity`` or more would.
+
+    Two such sets share one of the first ``n - ceil(similarity * n) + 1`` of n hashes in any
+    order that is common to all sets. Shingles that are frequent in a sample come last, which
+    keeps passages of many texts out of these. Each set is first compared with the least and the
+    last set of its hashes, so a group of near copies becomes one component; then all pairs of
+    sets that share such a hash and are in different components are compared.
+    """
+    n = sets.count()
+    sample = sets.where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, COUNTED / max(n, 1)))))
+    often = sample.select(F.explode("hashes").alias("h")).groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(FREQUENT).collect()
+    often = sorted((r["h"], r["count"]) for r in often)
+
+    @F.arrow_udf("array<long>")
+    def firsts(rows: pa.Array) -> pa.Array:
+        import math
+
+        import numpy as np
+
+        known, count, out = np.array([h for h, _ in often], np.int64), np.array([c for _, c in often], np.int64), []
+        for r in rows:
+            x = r.values.to_numpy()
+            rank = np.zeros(len(x), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                rank = np.where(known[at] == x, count[at], 0)
+            out.append(x[np.lexsort((x, rank))][: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1])
+        return pa.array(out, pa.list_(pa.int64()))
+
+    rows = materialize(sets.where(F.size("hashes") > 0).select("v", F.size("hashes").alias("n"), F.explode(firsts("hashes")).alias("h")), "prefixes")
+    ends = rows.groupBy("h").agg(F.min(F.struct("v", "n")).alias("low"), F.max(F.struct("v", "n")).alias("high")).where("low.v <> high.v")
+    ends = ends.select("h", F.explode(F.array("low", "high")).alias("end")).select("h", F.col("end.v").alias("w"), F.col("end.n").alias("m"))
+    fits = (F.least("n", "m") >= F.greatest("n", "m") * similarity - 1e-9)
+    pair = [F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")]
+    star = materialize(rows.join(ends, "h").where(F.col("v") != F.col("w")).where(fits).select(*pair).distinct(), "pairs")
+    found = materialize(similar(star, sets, similarity), "similar")
+    roots = components(found).withColumnRenamed("v", "u")
+    placed = materialize(rows.join(roots, F.col("v") == F.col("u"), "left").select("h", "v", "n", F.coalesce("root", "v").alias("root")), "placed")
+    mixed = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
+    left = materialize(placed.join(mixed, "h"), "mixed")
+    right = left.select("h", F.col("v").alias("w"), F.col("n").alias("m"), F.col("root").alias("other"))
+    rest = left.join(right, "h").where((F.col("v") < F.col("w")) & (F.col("root") != F.col("other"))).where(fits).select(*pair).distinct()
+    rest = materialize(rest.join(star, ["a", "b"], "left_anti"), "pairs")
+    return found.unionByName(similar(rest, sets, similarity))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of ``docs``, linked at a Jaccard similarity of their shingles
+    of ``words`` words; fp is a hash of the set of shingles, component_id the least id of the component.
+
+    Rows with equal ids count as one document; a null id is no component's name unless no other is there.
+    """
+
+    @F.arrow_udf("array<long>")
+    def set_of(texts: pa.Array) -> pa.Array:
+        import numpy as np
+
+        return pa.array([np.unique(shingles(x.as_py(), words).view("<i8")) for x in texts], pa.list_(pa.int64()))
+
+    hashed = docs.select(F.col(doc_id).alias("doc_id"), set_of(F.col(text)).alias("hashes")).withColumn("fp", F.xxhash64("hashes"))
+    hashed = materialize(hashed, "shingles")
+    marked = hashed.select("doc_id", "fp")
+    firsts = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "firsts")
+    # one row of each set; sets that stand on one row need no shuffle where the others are few
+    again = broadcast_if(firsts.where("rows > 1").select("fp"), 1_000_000)
+    once = hashed.join(again, "fp", "left_anti").select("fp", "hashes")
+    many = hashed.join(again, "fp", "left_semi").join(firsts.select("fp", F.col("first").alias("doc_id")), ["fp", "doc_id"]).select("fp", "hashes").dropDuplicates(["fp"])
+    void = hashed.where("doc_id is null").join(firsts.where("rows > 1 and first is null").select("fp"), "fp", "left_semi").select("fp", "hashes").dropDuplicates(["fp"])
+    sets = materialize(once.unionByName(many).unionByName(void).withColumnRenamed("fp", "v"), "sets")
+    # a document whose id stands on several rows connects their sets
+    twice = marked.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b")
+    shared = marked.join(twice.select("doc_id", F.col("a").alias("a")), "doc_id").select("a", F.col("fp").alias("b")).where("a <> b")
+    roots = components(similar_links(sets, similarity).unionByName(shared)).withColumnRenamed("v", "fp")
+    of = firsts.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = of.groupBy("root").agg(F.min("first").alias("component_id"))
+    names = materialize(of.join(least, "root").select("fp", "component_id"), "components")
+    return marked.join(names, "fp").select("doc_id", "fp", "component_id")
+
+
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     mark = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return near_duplicates(docs).select("doc_id", mark, "component_id")
+    return near_fingerprints(docs).select("doc_id", mark, "component_id")

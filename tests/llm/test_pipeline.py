@@ -77,3 +77,36 @@ def test_ids_decode_to_the_texts(stages):
 def test_run_agrees_with_the_stages(spark, sf, stages):
     key = lambda df: sorted((r["doc_id"], r["ids_sha256"]) for r in df.collect())
     assert key(corpus_pipeline.run(spark, sf)) == key(stages[-1])
+
+
+def test_near_dedup_reaches_every_pair_of_similarity(spark, sf, stages):
+    """Components are those of all pairs with 5-word Jaccard 0.8, also where they differ in many bits."""
+    import random
+    import re
+
+    rng = random.Random(7)
+    texts = {r["doc_id"]: r["text"] or "" for r in stages[2].collect()}
+    base = [f"w{rng.randrange(500)}" for _ in range(200)]
+    for k in range(40):
+        words = list(base)
+        for _ in range(1 + k % 5):
+            words[rng.randrange(200)] = f"x{k}"
+        texts[10_000_000 + k] = " ".join(words)
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or {tuple(w)}
+    ids, up = sorted(sets), {}
+    top = lambda i: i if up.get(i, i) == i else top(up[i])
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = top(i), top(j)
+                up[max(a, b)] = min(a, b)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    from docengine.llm.simhash import near_duplicates
+
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(frame).collect()} == {i: top(i) for i in ids}
+    kept = corpus_pipeline.near_dedup(spark, frame, sf)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({top(i) for i in ids})
