@@ -48,8 +48,10 @@ RADIUS = 3
 WORDS = 5
 SIMILARITY = 0.8
 #: Sets of shingles that are counted, and shingles kept, to know the frequent ones.
-COUNTED = 20_000
+COUNTED = 2_000
 FREQUENT = 10_000
+#: Rows of a table that is broadcast.
+BROADCAST = 1_000_000
 #: Fingerprints of a bucket that one task compares with themselves or with those of another part.
 SPLIT = 2048
 #: Pairs of fingerprint and group held at once.
@@ -369,10 +371,15 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         out = []
         for x, y in zip(left, right, strict=True):
             x, y = x.values.to_numpy(), y.values.to_numpy()
+            if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+                out.append(False)
+                continue
             both = len(np.intersect1d(x, y, assume_unique=True))
             out.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
         return pa.array(out, pa.bool_())
 
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "compared")
+    sets = sets.join(broadcast_if(ids, BROADCAST), "v", "left_semi")
     first, second = (sets.select(F.col("v").alias(c), F.col("hashes").alias(f"of_{c}")) for c in "ab")
     return pairs.join(first, "a").join(second, "b").where(alike("of_a", "of_b")).select("a", "b")
 
@@ -407,19 +414,20 @@ def similar_links(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             out.append(x[np.lexsort((x, rank))][: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1])
         return pa.array(out, pa.list_(pa.int64()))
 
-    rows = materialize(sets.where(F.size("hashes") > 0).select("v", F.size("hashes").alias("n"), F.explode(firsts("hashes")).alias("h")), "prefixes")
-    ends = rows.groupBy("h").agg(F.min(F.struct("v", "n")).alias("low"), F.max(F.struct("v", "n")).alias("high")).where("low.v <> high.v")
-    ends = ends.select("h", F.explode(F.array("low", "high")).alias("end")).select("h", F.col("end.v").alias("w"), F.col("end.n").alias("m"))
-    fits = (F.least("n", "m") >= F.greatest("n", "m") * similarity - 1e-9)
+    rows = materialize(sets.where(F.size("hashes") > 0).select("v", F.explode(firsts("hashes")).alias("h")), "prefixes")
+    # hashes of one set only, which most are, go at once
+    ends = materialize(rows.groupBy("h").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low <> high"), "ends")
+    rows = materialize(rows.join(broadcast_if(ends, BROADCAST), "h"), "shared")
     pair = [F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")]
-    star = materialize(rows.join(ends, "h").where(F.col("v") != F.col("w")).where(fits).select(*pair).distinct(), "pairs")
+    star = rows.select("v", F.explode(F.array("low", "high")).alias("w")).where("v <> w").select(*pair).distinct()
+    star = materialize(star, "pairs")
     found = materialize(similar(star, sets, similarity), "similar")
     roots = components(found).withColumnRenamed("v", "u")
-    placed = materialize(rows.join(roots, F.col("v") == F.col("u"), "left").select("h", "v", "n", F.coalesce("root", "v").alias("root")), "placed")
+    placed = materialize(rows.join(roots, F.col("v") == F.col("u"), "left").select("h", "v", F.coalesce("root", "v").alias("root")), "placed")
     mixed = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
     left = materialize(placed.join(mixed, "h"), "mixed")
-    right = left.select("h", F.col("v").alias("w"), F.col("n").alias("m"), F.col("root").alias("other"))
-    rest = left.join(right, "h").where((F.col("v") < F.col("w")) & (F.col("root") != F.col("other"))).where(fits).select(*pair).distinct()
+    right = left.select("h", F.col("v").alias("w"), F.col("root").alias("other"))
+    rest = left.join(right, "h").where((F.col("v") < F.col("w")) & (F.col("root") != F.col("other"))).select(*pair).distinct()
     rest = materialize(rest.join(star, ["a", "b"], "left_anti"), "pairs")
     return found.unionByName(similar(rest, sets, similarity))
 
@@ -437,16 +445,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
         return pa.array([np.unique(shingles(x.as_py(), words).view("<i8")) for x in texts], pa.list_(pa.int64()))
 
-    hashed = docs.select(F.col(doc_id).alias("doc_id"), set_of(F.col(text)).alias("hashes")).withColumn("fp", F.xxhash64("hashes"))
+    hashed = docs.select(F.col(doc_id).alias("doc_id"), set_of(F.col(text)).alias("hashes")).withColumn("fp", F.when(F.size("hashes") == 0, F.lit(0)).otherwise(F.xxhash64("hashes")))
     hashed = materialize(hashed, "shingles")
     marked = hashed.select("doc_id", "fp")
     firsts = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "firsts")
     # one row of each set; sets that stand on one row need no shuffle where the others are few
-    again = broadcast_if(firsts.where("rows > 1").select("fp"), 1_000_000)
+    again = broadcast_if(firsts.where("rows > 1").select("fp"), BROADCAST)
     once = hashed.join(again, "fp", "left_anti").select("fp", "hashes")
     many = hashed.join(again, "fp", "left_semi").join(firsts.select("fp", F.col("first").alias("doc_id")), ["fp", "doc_id"]).select("fp", "hashes").dropDuplicates(["fp"])
     void = hashed.where("doc_id is null").join(firsts.where("rows > 1 and first is null").select("fp"), "fp", "left_semi").select("fp", "hashes").dropDuplicates(["fp"])
-    sets = materialize(once.unionByName(many).unionByName(void).withColumnRenamed("fp", "v"), "sets")
+    sets = once.unionByName(many).unionByName(void).withColumnRenamed("fp", "v")
     # a document whose id stands on several rows connects their sets
     twice = marked.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b")
     shared = marked.join(twice.select("doc_id", F.col("a").alias("a")), "doc_id").select("a", F.col("fp").alias("b")).where("a <> b")
