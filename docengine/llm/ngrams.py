@@ -6,200 +6,70 @@ c(v w) / c(v) if c(v w) > 0; else the context is cut by its first word and the s
 multiplied by ``ALPHA``. At the end stands c(w) / N, or ALPHA / N for a word that no other
 document has. A document's score is the sum of the logarithms over its words.
 
-The count tables hold every n-gram of every order, nothing pruned, and are partitioned
-by the hash of the n-gram. To move little, rows are packed: documents are put in groups
-of about ``GROUP_BYTES`` of text; a group's n-grams are counted there first, then sent as
-one row for each group, order and hash bucket (sorted hashes as differences, and counts).
-A bucket sums its rows, joins the sums back to the n-grams that asked for them, and sends
-each group its totals in the order of its n-grams. The group scores its documents. So a
-very frequent n-gram is one entry a group, and no task holds more than a group or a bucket.
+Rows are (document, n-gram, positions); the count table has a row (n-gram, count) for every
+n-gram of every order, nothing pruned. A join gives each document's n-grams their counts;
+each count then goes to the word that it ends at and, as context, to the next word; sums
+over words make the score. Documents are dealt by their number, so their own counts need no
+further shuffle; the count table and the join are shuffled by n-gram.
 
 An n-gram is known by a 64-bit hash of its words. Null and empty texts have no words and
 score 0. Copies count as other documents. An empty table gives an empty result.
 """
 
-import zlib
+import math
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ORDER = 2
+from docengine.llm.words import pieces, words_of
+from docengine.shared import materialize
+
+ORDER = 3
 ALPHA = 0.4
+#: Text of one partition of documents.
 GROUP_BYTES = 4 << 20
-#: Groups whose n-grams about fill one bucket.
-GROUPS_A_BUCKET = 4
-MIN_BUCKETS = 64
-
-
-def word_hashes(texts: list[bytes]):
-    """(hash of each word, number of words of each text)."""
-    import re
-
-    import numpy as np
-    from xxhash import xxh64_intdigest
-
-    class Known(dict):
-        def __missing__(self, word):
-            h = self[word] = xxh64_intdigest(word)
-            return h
-
-    known, find = Known(), re.compile(rb"[^\x20\x09-\x0D]+").findall
-    sizes, parts = [], []
-    for t in texts:
-        words = find(t)
-        sizes.append(len(words))
-        parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.array(sizes, dtype=np.int64)
-
-
-def mixed(a, b):
-    """A hash of two hashes, in order."""
-    import numpy as np
-
-    x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ np.uint64(0xD1B54A32D192ED03))
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
-
-
-def grams(words, sizes, order: int) -> list:
-    """For k = 1..order the hashes of the k-grams that end at each word, and where they exist."""
-    import numpy as np
-
-    place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out = [(words, np.ones(len(words), dtype=bool))]
-    for k in range(2, order + 1):
-        h = out[-1][0].copy()
-        # the k-gram at i: the (k-1)-gram that ends before it, then the word
-        h[1:] = mixed(out[-1][0][:-1], words[1:])
-        out.append((h, place >= k - 1))
-    return out
-
-
-def packed(values, counts) -> dict:
-    """Sorted different hashes and their counts, as bytes."""
-    import numpy as np
-
-    steps = np.diff(values, prepend=np.uint64(0))
-    width = max(1, (int(steps[1:].max()).bit_length() + 7) // 8) if len(steps) > 1 else 1
-    rest = np.ascontiguousarray(steps[1:]).view(np.uint8).reshape(-1, 8)[:, :width]
-    return {"first": int(values[0].view(np.int64)), "width": width, "hashes": rest.tobytes(), "counts": zlib.compress(counts.astype("<u4").tobytes(), 1)}
-
-
-def unpacked(first: int, width: int, hashes: bytes):
-    import numpy as np
 
-    body = np.frombuffer(hashes, np.uint8).reshape(-1, width)
-    steps = np.zeros((len(body) + 1, 8), np.uint8)
-    steps[1:, :width] = body
-    out = steps.reshape(-1).view("<u8").astype(np.uint64)
-    out[0] = np.array([first]).view(np.uint64)[0]
-    return np.cumsum(out, dtype=np.uint64)
 
-
-def bucket_edges(values, buckets: int):
-    """Where each bucket begins in sorted hashes: buckets are equal ranges of the hash."""
-    import numpy as np
-
-    return np.searchsorted(values >> np.uint64(32), np.array([(i << 32) // buckets + (1 if (i << 32) % buckets else 0) for i in range(buckets)], np.uint64))
-
-
-def _texts(table: pa.Table) -> list[bytes]:
-    return [x or b"" for x in table.column("text").cast(pa.binary()).to_pylist()]
-
-
-def counter(order: int, buckets: int):
-    def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        import numpy as np
-
-        words, sizes = word_hashes(_texts(table))
-        group, rows = key[0].as_py(), []
-        # order 0 holds the number of words
-        if len(words):
-            rows.append({"g": group, "k": 0, "bucket": 0, **packed(np.zeros(1, np.uint64), np.array([len(words)]))})
-        for k, (h, there) in enumerate(grams(words, sizes, order), 1):
-            values, counts = np.unique(h[there], return_counts=True)
-            cut = [*bucket_edges(values, buckets), len(values)]
-            for b in range(buckets):
-                if cut[b] < cut[b + 1]:
-                    rows.append({"g": group, "k": k, "bucket": b, **packed(values[cut[b] : cut[b + 1]], counts[cut[b] : cut[b + 1]])})
-        return pa.Table.from_pylist(rows, COUNTS)
-
-    return count
-
-
-COUNTS = pa.schema([("g", pa.int64()), ("k", pa.int32()), ("bucket", pa.int32()), ("first", pa.int64()), ("width", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
-TOTALS = pa.schema([("g", pa.int64()), ("k", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary())])
-SCORES = pa.schema([("row", pa.int64()), ("n_words", pa.int64()), ("log_prob", pa.float64())])
-
-
-def total(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """The sums of one order's bucket, for each group in the order of its n-grams."""
-    import numpy as np
-
-    rows = table.to_pylist()
-    values = [unpacked(r["first"], r["width"], r["hashes"]) for r in rows]
-    counts = [np.frombuffer(zlib.decompress(r["counts"]), "<u4") for r in rows]
-    _, inverse = np.unique(np.concatenate(values), return_inverse=True)
-    sums = np.bincount(inverse, weights=np.concatenate(counts))[inverse].astype("<u8")
-    cut = np.cumsum([0, *map(len, values)])
-    out = [{"g": r["g"], "k": r["k"], "bucket": r["bucket"], "totals": zlib.compress(sums[cut[i] : cut[i + 1]].tobytes(), 1)} for i, r in enumerate(rows)]
-    return pa.Table.from_pylist(out, TOTALS)
-
-
-def scorer(order: int, alpha: float):
-    def score(key: tuple[pa.Scalar, ...], docs: pa.Table, totals: pa.Table) -> pa.Table:
-        import numpy as np
-
-        words, sizes = word_hashes(_texts(docs))
-        ids = docs.column("row")
-        found: dict = {}
-        for r in sorted(totals.to_pylist(), key=lambda r: (r["k"], r["bucket"])):
-            found.setdefault(r["k"], []).append(np.frombuffer(zlib.decompress(r["totals"]), "<u8"))
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        others = None  # count of the context, for each word
-        every = int(found[0][0][0]) if 0 in found else 0
-        others_all = np.maximum(every - sizes, 1)[owner] if len(words) else np.zeros(0)
-        best = None
-        for k, (h, there) in enumerate(grams(words, sizes, order), 1):
-            at = np.nonzero(there)[0]
-            if not len(at):
-                break
-            values, inverse = np.unique(h[at], return_inverse=True)
-            sums = np.concatenate(found[k])
-            # counts in the document itself
-            pair = owner[at] * len(values) + inverse
-            _, again, own = np.unique(pair, return_inverse=True, return_counts=True)
-            left = np.zeros(len(words))
-            left[at] = sums[inverse] - own[again]
-            if k == 1:
-                best = np.log(np.where(left > 0, left, alpha) / others_all)
-            else:
-                seen = left > 0
-                context = np.ones(len(words))
-                context[1:] = others[:-1]
-                best = np.where(seen, np.log(np.where(seen, left, 1) / np.maximum(context, 1)), best + np.where(there, np.log(alpha), 0.0))
-            others = left
-        sums = np.bincount(owner, weights=best, minlength=len(sizes)) if len(words) else np.zeros(len(sizes))
-        return pa.table({"row": ids, "n_words": pa.array(sizes), "log_prob": pa.array(sums)}, schema=SCORES)
-
-    return score
+def grams(words, order: int):
+    """Structs (k, pos, gram) of the k-grams, k = 1..order, of an array of words; pos is that of the last word."""
+    of = lambda k: F.when(
+        F.size(words) >= k,
+        F.transform(F.sequence(F.lit(k), F.size(words)), lambda i: F.struct(F.lit(k).alias("k"), i.alias("pos"), F.xxhash64(F.slice(words, i - (k - 1), k)).alias("gram"))),
+    )
+    none = F.array().cast("array<struct<k:int,pos:int,gram:bigint>>")
+    return F.concat(*(F.coalesce(of(k), none) for k in range(1, order + 1)))
 
 
 def score(docs: DataFrame, row: str = "doc_id", text: str = "text", order: int = ORDER, alpha: float = ALPHA, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(row, n_words, log_prob, mean_log_prob, perplexity) for each row of ``docs``; ``row`` is a long."""
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    groups = max(1, -(-size // group_bytes))
-    buckets = max(MIN_BUCKETS, groups // GROUPS_A_BUCKET)
-    rows = docs.select(F.col(row).cast("long").alias("row"), F.col(text).alias("text"))
-    rows = rows.withColumn("g", F.pmod(F.xxhash64("row", F.octet_length("text")), F.lit(groups)))
-    by_group = rows.groupBy("g")
-    counts = by_group.applyInArrow(counter(order, buckets), "g long, k int, bucket int, first long, width int, hashes binary, counts binary")
-    totals = counts.groupBy("k", "bucket").applyInArrow(total, "g long, k int, bucket int, totals binary")
-    out = by_group.cogroup(totals.groupBy("g")).applyInArrow(scorer(order, alpha), "row long, n_words long, log_prob double")
+    rows = docs.select(F.col(row).cast("long").alias("row"), words_of(pieces(F.col(text))).alias("words"))
+    # equal ids are different rows
+    rows = materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "words")
+    size = rows.agg(F.sum(F.octet_length(F.array_join("words", " "))).alias("bytes"), F.sum(F.size("words")).alias("words")).first()
+    parts = max(1, -(-(size["bytes"] or 0) // group_bytes))
+    dealt = rows.select("uid", "words").repartition(parts, "uid")
+    own = dealt.select("uid", F.explode(grams(F.col("words"), order)).alias("g")).select("uid", "g.*")
+    own = own.groupBy("uid", "k", "gram").agg(F.collect_list("pos").alias("at"))
+    own = materialize(own, "grams")
+    totals = own.groupBy("k", "gram").agg(F.sum(F.size("at")).alias("total"))
+    left = own.join(totals, ["k", "gram"]).select("uid", "k", F.explode("at").alias("pos"), (F.col("total") - F.size("at")).alias("n"))
+    # a count belongs to its last word, and as a context to the word after that
+    uses = F.array(F.struct("pos", F.col("k"), F.lit(False).alias("context")), F.struct((F.col("pos") + 1).alias("pos"), (F.col("k") + 1).alias("k"), F.lit(True).alias("context")))
+    used = left.select("uid", "n", F.explode(uses).alias("u")).select("uid", "n", "u.*").where(F.col("k") <= order)
+    pick = lambda k, context: F.max(F.when((F.col("k") == k) & (F.col("context") == context), F.col("n")))
+    columns = [pick(k, False).alias(f"n{k}") for k in range(1, order + 1)] + [pick(k, True).alias(f"c{k}") for k in range(2, order + 1)]
+    # the last word's contexts have no word
+    words = used.groupBy("uid", "pos").agg(*columns).where("n1 is not null")
+    best = F.log(F.when(F.col("n1") > 0, F.col("n1").cast("double")).otherwise(F.lit(alpha)))
+    ends = F.lit(1)
+    for k in range(2, order + 1):
+        seen, there = F.col(f"n{k}") > 0, F.col(f"n{k}").isNotNull()
+        best = F.when(seen, F.log(F.col(f"n{k}") / F.greatest(F.col(f"c{k}"), F.lit(1)))).when(there, best + math.log(alpha)).otherwise(best)
+        ends = F.when(seen, 0).otherwise(ends)
+    sums = words.select("uid", best.alias("best"), ends.alias("ends")).groupBy("uid").agg(F.sum("best").alias("best"), F.sum("ends").alias("ends"))
+    out = rows.select("row", "uid", F.size("words").cast("long").alias("n_words")).join(sums, "uid", "left")
+    others = F.greatest(F.lit(size["words"] or 0) - F.col("n_words"), F.lit(1))
+    out = out.select("row", "n_words", F.coalesce(F.col("best") - F.col("ends") * F.log(others), F.lit(0.0)).alias("log_prob"))
     mean = F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).otherwise(0.0)
     return out.withColumn("mean_log_prob", mean).withColumn("perplexity", F.exp(-F.col("mean_log_prob")))
 

@@ -355,3 +355,13 @@ def test_op10(spark, texts, order):
                     factor *= 0.4
             # contexts cut at the start of a text carry no factor
         assert out[i]["log_prob"] == pytest.approx(want, rel=1e-9) and out[i]["n_words"] == len(w)
+
+
+def test_op10_counts_contexts_of_two_words(spark):
+    """With usual bigrams, a trigram that others have scores higher than one that none has."""
+    texts = ["a b c", "a b c", "x b d", "x b d", "a b d"]
+    out = {r["row"]: r["log_prob"] for r in ngrams.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    # a: 2 of 12; b after a: 2 of 2; d after a b: never, after b: 2 of 4
+    assert out[4] == pytest.approx(math.log(2 / 12) + math.log(2 / 2) + math.log(0.4 * 2 / 4))
+    # c after a b: 1 of 2
+    assert out[0] == pytest.approx(math.log(2 / 12) + math.log(2 / 2) + math.log(1 / 2))
