@@ -60,22 +60,30 @@ CLASSES = frozenset(
     "breadcrumb breadcrumbs footer cookie cookies consent notice notices popup modal comment comments disqus reply "
     "replies share sharing social related newsletter subscribe signup widget".split()
 )
+#: A word of CLASSES drops an element as a whole class or id, or in a compound with one of these.
+PARTS = "area bar block box btn button buttons container form icon icons inner item items link links list menu panel section slot unit widget wrap wrapper"
+COMPOUND = re.compile(
+    rf"(?:(?:main|page|primary|secondary|site|top|bottom|left|right)[-_])?(?:{'|'.join(sorted(CLASSES))})(?:[-_](?:{'|'.join(PARTS.split())}|\d+))?"
+)
+#: Never dropped for a class or id.
+KEPT = frozenset("html body main article".split())
 #: These are dropped outside the main element only; inside it they hold the article's own title.
 OUTER = frozenset(["header", "masthead", "banner"])
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-WORD = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "dropped", "main", "inside", "parts", "hash", "template")
+    __slots__ = ("tag", "parent", "dropped", "main", "inside", "parts", "hash", "template", "held")
 
     def __init__(self, tag, parent, dropped, main):
         self.tag, self.parent, self.dropped, self.main = tag, parent, dropped, main
         self.inside = main or (parent is not None and parent.inside)
         #: child nodes and texts, in order
         self.parts, self.hash, self.template = [], 0, False
+        #: of an inline node, the text before it, which goes on after it
+        self.held = []
 
 
 def parse(page: str) -> Node:
@@ -89,6 +97,13 @@ def parse(page: str) -> Node:
             at.parts.append("".join(text))
             text.clear()
 
+    def leave(to):
+        nonlocal at
+        while at is not to:
+            flush()
+            text.extend(at.held)
+            at = at.parent
+
     while pos < size:
         m = TOKEN.match(page, pos)
         pos = m.end()
@@ -100,17 +115,17 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m.group(1):
-            if tag in INLINE:
-                continue
-            flush()
             node = at
-            while node is not None and node.tag != tag:
+            while node is not None and node.tag != tag and (tag not in INLINE or node.tag in INLINE):
                 node = node.parent
-            if node is not None and node.parent is not None:
-                at = node.parent
+            if node is not None and node.tag == tag:
+                leave(node.parent)
+            if tag not in INLINE:
+                flush()
             continue
         attributes = m.group(3)
-        if tag in INLINE and "class" not in attributes and "id" not in attributes:
+        attributed = "class" in attributes or "id" in attributes or "role" in attributes
+        if tag in INLINE and at.tag not in INLINE and not attributed:
             continue
         if tag in RAW:
             # its content is no markup
@@ -125,23 +140,41 @@ def parse(page: str) -> Node:
                 if key.lower() == "role":
                     role = value.strip()
                 else:
-                    marks.update(WORD.findall(value))
+                    marks.update(value.split())
         main = tag in ("article", "main") or role == "main"
-        dropped = tag in DROPPED or role in ROLES or not marks.isdisjoint(CLASSES)
-        if tag in INLINE and not dropped:
+        dropped = tag in DROPPED or role in ROLES or (tag not in KEPT and any(map(COMPOUND.fullmatch, marks)))
+        # in a dropped inline element, others count to find its end
+        if tag in INLINE and not dropped and at.tag not in INLINE:
             continue
         if tag in ("br", "hr"):
             flush()
             continue
+        void = attributes.endswith("/") or tag in ("img", "input", "link", "meta", "embed", "source", "track", "wbr", "area", "base", "param")
+        if tag in INLINE:
+            if not void:
+                node = Node(tag, at, True, False)
+                at.parts.append(node)
+                node.held, at = text[:], node
+                text.clear()
+            continue
+        while True:
+            # a paragraph that ends takes along inline elements that were left open
+            node = at
+            while node.tag in INLINE:
+                node = node.parent
+            if node.tag not in CLOSED_BY or tag not in CLOSED_BY[node.tag]:
+                break
+            leave(node)
+            flush()
+            at = node.parent
         flush()
-        while at.tag in CLOSED_BY and tag in CLOSED_BY[at.tag]:
-            at = at.parent
-        if (tag in OUTER or not marks.isdisjoint(OUTER)) and not at.inside and not main:
+        if (tag in OUTER or tag not in KEPT and not marks.isdisjoint(OUTER)) and not at.inside and not main:
             dropped = True
         node = Node(tag, at, dropped or at.dropped, main and not dropped and not at.dropped)
         at.parts.append(node)
-        if not attributes.endswith("/") and tag not in ("img", "input", "link", "meta", "embed", "source", "track", "wbr", "area", "base", "param"):
+        if not void:
             at = node
+    leave(root)
     flush()
     return root
 

@@ -365,3 +365,19 @@ def test_op10_counts_contexts_of_two_words(spark):
     assert out[4] == pytest.approx(math.log(2 / 12) + math.log(2 / 2) + math.log(0.4 * 2 / 4))
     # c after a b: 1 of 2
     assert out[0] == pytest.approx(math.log(2 / 12) + math.log(2 / 2) + math.log(1 / 2))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<body><article><p>One <a class="share-link">tweet</a> two<p>Three</article>', "One two\nThree"),
+        ('<article><p>One <span class="ad">x<span>y</span>z</span> two</p><p>Three</p></article>', "One two\nThree"),
+        ('<article><p>One <span class="ad">x<p>Two</article>', "One\nTwo"),
+        ('<article><p><a id="comment-3"></a>One</p></article>', "One"),
+        ('<body class="has-sidebar"><p>One</p></body>', "One"),
+        ('<body class="menu"><article class="post comments-open share"><p>One</p></article>', "One"),
+        ('<div class="share-box">x</div><div class="shared-history">One</div>', "One"),
+    ],
+)
+def test_op4_drops_only_what_is_marked(page, want):
+    assert html.main_text(page, []) == want
