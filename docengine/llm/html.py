@@ -13,8 +13,10 @@ articles may quote and copy one another.
 
 Text: character references decoded, white space inside a block turned into one space,
 blocks joined in page order by one line feed. A null or empty page has an empty text;
-null or odd URLs share one host. Copies of a page count as pages. Counting moves 16
-bytes a subtree, summed in each task first; pages themselves move only if there are
+null or odd URLs share one host. Copies count once: a subtree counts by the different
+articles that hold it, or outside articles by the different pages, and a host's pages by
+their content. Inside an article, what holds paragraphs is no template either. Counting
+moves 24 bytes a subtree; pages themselves move only if there are
 more hosts than ``max_broadcast_hosts``.
 """
 
@@ -205,16 +207,31 @@ def candidates(root: Node) -> list[Node]:
     """Nodes that may be a template: not those that hold the main element, nor prose in it, nor empty ones."""
     nodes, holds = hashed(root), set()
     for node in nodes:
-        if node.main or id(node) in holds:
-            while node.parent is not None:
+        # what holds the main element, or in it prose that is no bare list
+        if node.main or id(node) in holds or (node.inside and node.tag in PROSE and node.tag != "li" and node.parts and not node.dropped):
+            while node.parent is not None and id(node.parent) not in holds:
                 node = node.parent
                 holds.add(id(node))
     return [n for n in nodes if n.parts and n.parent is not None and not n.main and id(n) not in holds and n.tag not in ("html", "body") and not (n.inside and n.tag in PROSE)]
 
 
-def subtrees(page: str | None) -> list[int]:
-    """Different hashes of the subtrees of a page that may be templates."""
-    return sorted({n.hash for n in candidates(parse(page))}) if page else []
+def subtrees(page: str | None) -> list[tuple]:
+    """Different (hash, content) of the subtrees of a page that may be templates, and (None, content) for the page.
+
+    content is the hash of the outermost main element that holds the subtree, else of the page.
+    """
+    if not page:
+        return []
+    root = parse(page)
+    nodes, out = candidates(root), set()
+    for n in nodes:
+        content, up = root.hash, n
+        while n.inside and up is not None:
+            if up.main:
+                content = up.hash
+            up = up.parent
+        out.add((n.hash, content))
+    return [(None, root.hash), *sorted(out)]
 
 
 def main_text(page: str | None, templates) -> str:
@@ -249,18 +266,20 @@ def host_of(url):
 def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text", share: float = SHARE, least: int = LEAST, max_broadcast_hosts: int = 50_000) -> DataFrame:
     """``pages`` with the main text in column ``out``."""
 
-    @F.arrow_udf("array<long>")
+    @F.arrow_udf("array<struct<hash:long,content:long>>")
     def found(rows: pa.Array) -> pa.Array:
-        return pa.array([subtrees(x.as_py()) for x in rows], pa.list_(pa.int64()))
+        kind = pa.list_(pa.struct([("hash", pa.int64()), ("content", pa.int64())]))
+        return pa.array([[{"hash": h, "content": c} for h, c in subtrees(x.as_py())] for x in rows], kind)
 
     @F.arrow_udf("string")
     def text_of(rows: pa.Array, templates: pa.Array) -> pa.Array:
         return pa.array([main_text(x.as_py(), t.as_py()) for x, t in zip(rows, templates, strict=True)], pa.string())
 
     hosts = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
-    seen = hosts.select("host", F.explode(found("html")).alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    seen = materialize(seen, "subtrees")
-    sizes = hosts.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    counts = hosts.select("host", F.explode(found("html")).alias("s")).select("host", "s.*").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(counts, "subtrees")
+    seen = counts.where(F.col("hash").isNotNull() & (F.col("n") >= least))
+    sizes = counts.where("hash is null").select("host", F.col("n").alias("pages"))
     shared = seen.join(sizes, "host").where(F.col("n") >= F.col("pages") * share)
     # a list has 1 / share times the subtrees of a mean page at most
     lists = broadcast_if(materialize(shared.groupBy("host").agg(F.collect_list("hash").alias("templates")), "templates"), max_broadcast_hosts)

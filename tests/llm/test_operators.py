@@ -381,3 +381,15 @@ def test_op10_counts_contexts_of_two_words(spark):
 )
 def test_op4_drops_only_what_is_marked(page, want):
     assert html.main_text(page, []) == want
+
+
+def test_op4_copies_of_a_page_stay_whole(spark):
+    """Copies, of pages with an article and without one, are no template; what different pages share is."""
+    article = "<body><div>Menu</div><article><div><p>Some text</p><ul><li>point</ul></div></article></body>"
+    near = [f"<body><div>Menu</div><p>{i}</p><article><div><section><p>Own text</p></section></div></article></body>" for i in range(5)]
+    bare = "<body><div>Menu</div><p>Some words</p></body>"
+    pages = [(i, "http://h.org/a", article) for i in range(5)] + [(10 + i, "http://k.org/a", x) for i, x in enumerate(near)]
+    pages += [(20 + i, "http://m.org/a", bare) for i in range(5)] + [(30 + i, "http://m.org/b", f"<body><div>Menu</div><p>Text {i}</p></body>") for i in range(5)]
+    out = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert {out[i] for i in range(5)} == {"Some text\npoint"} and {out[10 + i] for i in range(5)} == {"Own text"}
+    assert {out[20 + i] for i in range(5)} == {"Some words"} and [out[30 + i] for i in range(5)] == [f"Text {i}" for i in range(5)]
