@@ -1,31 +1,45 @@
 """Byte-level BPE as a reduction over a monoid of token sequences.
 
-A text is a tree: its pattern matches at the top, halves of long matches below, and
-spans of at most ``LEAF`` bytes at the bottom, which are guessed and proved, or encoded by
-a plain merge loop. Two
-neighbours are joined by encoding again a window of tokens about their boundary. The
-window grows until the tokens at its edges are compatible with those outside: a pair
-of tokens is compatible if its bytes encode to just that pair. A sequence whose
-neighbouring pairs are all compatible is the encoding of its bytes, so what lies
-outside the window is then stable. Decoding concatenates up the tree.
+A text is a tree: its pattern matches at the top, halves of matches below, down to
+spans of at most ``LEAF`` bytes, which a plain merge loop encodes. Two neighbours are
+joined by looking at the tokens about their boundary: if those are compatible (their
+bytes encode to just that pair) both sides stay as they are; else a window of tokens
+about the boundary is encoded again, and grows until the tokens at its edges are
+compatible with those outside. A sequence whose neighbouring pairs are all compatible is
+the encoding of its bytes, so what lies outside the window is then stable. Matches are
+encoded separately, so above them a join is a concatenation. Decoding concatenates up
+the tree.
 
 Work of a join depends on the window, not on the length of a match, so a match of
-megabytes costs O(n log n). Matches repeat, and so do words with the marks about them, so
-each worker keeps the ids of up to ``cache`` short ones of either. Ids are kept as little-endian unsigned 32-bit integers
-in one binary value. Null texts count as empty; an empty text has no ids.
+megabytes costs O(n log n). Subtrees repeat: each worker keeps those of up to
+``SUBTREE`` bytes, the ids of matches and those of words with the marks after them, in
+caches that are bounded by bytes (``CACHE`` in all). Ids are kept as little-endian
+unsigned 32-bit integers in one binary value.
+
+Null texts count as empty; an empty text has no ids. Equal texts have equal ids, and
+repeated rows stay. An empty table gives an empty result. Columns of the names that are
+added are replaced; others are kept, whatever their names.
 """
 
 import base64
+import hashlib
 import heapq
-from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-LEAF = 24
+from pyspark.sql import types as T
+
+#: Bytes of a leaf of the tree.
+LEAF = 8
+#: Bytes of the largest subtree that is kept.
+SUBTREE = 16
+#: Bytes of all caches of a worker, and what an entry takes beside its key and value.
+CACHE, ENTRY = 160 << 20, 160
 #: Marks that may follow a word.
 MARKS = ".,;:!?#$%&*|)"
+#: The pattern for which ``encode`` knows where matches begin without matching; others are matched.
+WORDS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -34,40 +48,45 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Known(dict):
-    """Results of ``make`` by its argument. At ``most`` entries they become the older half, and what is asked for again is kept."""
+    """Results of ``make`` by its argument, in two generations of ``size / 2`` bytes at most; what is asked for again is kept."""
 
-    def __init__(self, make, most: int):
-        self.make, self.most, self.older = make, max(1, most // 2), {}
+    def __init__(self, make, size: int, longest: int, unit: int = 1):
+        self.make, self.half, self.longest, self.unit, self.held, self.older = make, size // 2, longest, unit, 0, {}
 
-    def __missing__(self, key: str) -> bytes:
+    def __missing__(self, key):
         got = self.older.get(key)
         if got is None:
             got = self.make(key)
-        # a word with marks is put together again from the word; caching it would push out other words
-        if len(key) <= 48 and not (key[0].isalpha() and key[-1] in MARKS):
-            if len(self) >= self.most:
+        # a word with marks is put together again from the word; keeping it would push out other words
+        if len(key) <= self.longest and not (key[-1] in MARKS and key[0].isalpha() if self.unit == 1 else False):
+            if self.held > self.half:
                 self.older = dict(self)
                 self.clear()
+                self.held = 0
             self[key] = got
+            self.held += ENTRY + len(key) + self.unit * len(got)
         return got
 
 
 class Coder:
     """Encodes and decodes by ``ranks`` (token bytes to id; a lower id merges first)."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF, cache: int = 800_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF, cache: int = CACHE):
         import regex
 
-        self.ranks, self.leaf = ranks, leaf
+        self.ranks, self.leaf, self.joins = ranks, leaf, 0
         self.tokens: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, i in ranks.items():
             self.tokens[i] = token
+        self.by_words = pattern == WORDS_PATTERN
         # \s of the pattern is Unicode's White_Space, which leaves out the separators U+001C to U+001F
         self.matches = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.fits = lru_cache(1 << 18)(self._fits)
-
-        self.known = Known(lambda piece: self.packed(piece.encode("utf-8")), cache // 4)
-        self.chunks = Known(self.chunk, cache)
+        self.pairs: dict[int, bool] = {}
+        self.most_pairs = cache // 8 // ENTRY
+        self.merged = Known(self.leaf_ids, cache // 8, SUBTREE, 8)
+        self.subtrees = Known(self._span, cache // 8, SUBTREE, 8)
+        self.known = Known(lambda piece: self.packed(piece.encode("utf-8")), cache // 16, 48)
+        self.chunks = Known(self.chunk, cache * 9 // 16, 48)
 
     def chunk(self, part: str) -> bytes:
         """Ids of a space and ``part``, or of a part that begins with a line feed."""
@@ -80,14 +99,16 @@ class Coder:
         return self.flat(part if part[:1] == "\n" else " " + part)
 
     def packed(self, piece: bytes) -> bytes:
+        """Ids of a match; one that is a token itself is that token."""
         i = self.ranks.get(piece)
-        ids = [i] if i is not None else self.span(piece)
-        return b"".join([x.to_bytes(4, "little") for x in ids])
+        if i is not None:
+            return i.to_bytes(4, "little")
+        return b"".join([x.to_bytes(4, "little") for x in self.span(piece)])
 
     def leaf_ids(self, span: bytes) -> list[int]:
         """Merges the pair of lowest rank, leftmost first, until no pair merges."""
         ranks, n = self.ranks, len(span)
-        if n > 4 * self.leaf:
+        if n > 96:
             return self.heap_ids(span)
         never = len(self.tokens)
         parts = [span[i : i + 1] for i in range(n)]
@@ -122,51 +143,40 @@ class Coder:
                 heapq.heappush(heap, (r, before[i], i, stop))
         return [ranks[span[i : end[i]]] for i in range(n) if alive[i]]
 
-    def _fits(self, a: int, b: int) -> bool:
-        return self.leaf_ids(self.tokens[a] + self.tokens[b]) == [a, b]
-
-    def guessed(self, span: bytes) -> list[int] | None:
-        """A way through ``span`` by compatible neighbours, which then is its encoding; the longest token is tried first.
-
-        An encoding of a prefix is one of a kind, so a position that has led nowhere is dead for good.
-        """
-        ids, starts, dead, fits, get, n = [], [], set(), self.fits, self.ranks.get, len(span)
-        i, end = 0, min(n, 12)
-        while i < n:
-            while end > i:
-                token = get(span[i:end])
-                if token is not None and end not in dead and (not ids or fits(ids[-1], token)):
-                    break
-                end -= 1
-            else:
-                dead.add(i)
-                if not ids:
-                    return None
-                ids.pop()
-                end = i - 1
-                i = starts.pop()
-                continue
-            ids.append(token)
-            starts.append(i)
-            i = end
-            end = i + 12 if i + 12 < n else n
-        return ids
+    def fits(self, a: int, b: int) -> bool:
+        """Whether the bytes of two tokens encode to just these."""
+        key = a << 32 | b
+        got = self.pairs.get(key)
+        if got is None:
+            # bytes that are one token by rank never stay two
+            got = self.tokens[a] + self.tokens[b] not in self.ranks and self.leaf_ids(self.tokens[a] + self.tokens[b]) == [a, b]
+            if len(self.pairs) >= self.most_pairs:
+                self.pairs.clear()
+            self.pairs[key] = got
+        return got
 
     def span(self, piece: bytes) -> list[int]:
+        """Ids of a subtree."""
+        return self.subtrees[piece] if len(piece) <= SUBTREE else self._span(piece)
+
+    def _span(self, piece: bytes) -> list[int]:
         if len(piece) <= self.leaf:
-            return self.guessed(piece) or self.leaf_ids(piece)
+            return self.merged[piece]
         # a power of two near the middle keeps long runs of one token in step on both sides
         half = 1 << ((len(piece) - 1).bit_length() - 1)
         return self.join(self.span(piece[:half]), self.span(piece[half:]))
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of the bytes of both; the monoid's operation."""
+        self.joins += 1
         if not left or not right:
             return left or right
+        if self.fits(left[-1], right[0]):
+            return left + right
         width = 1
         while True:
             a, b = max(0, len(left) - width), min(width, len(right))
-            middle = self.leaf_ids(self.decoded(left[a:]) + self.decoded(right[:b]))
+            middle = self.merged[self.decoded(left[a:]) + self.decoded(right[:b])]
             if (not a or self.fits(left[a - 1], middle[0])) and (b == len(right) or self.fits(middle[-1], right[b])):
                 return left[:a] + middle + right[b:]
             width *= 2
@@ -181,8 +191,8 @@ class Coder:
         return b"".join(map(self.known.__getitem__, self.matches(text)))
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text. A single space or line feed between two other characters always begins a match."""
-        if "  " in text or "\n\n" in text or "\n " in text or " \n" in text or text[-1:] in "\n " or not text.replace("\n", "").isprintable():
+        """Ids of a text. By ``WORDS_PATTERN``, a single space or line feed between two other characters always begins a match."""
+        if not self.by_words or "  " in text or "\n\n" in text or "\n " in text or " \n" in text or text[-1:] in "\n " or not text.replace("\n", "").isprintable():
             return self.flat(text)
         first, *parts = text.replace("\n", " \n").split(" ")
         return self.flat(first) + b"".join(map(self.chunks.__getitem__, parts))
@@ -227,27 +237,46 @@ def codec(spark, path: str, pattern: str):
     return encode, decode
 
 
-def default_codec(spark):
-    import public_tokenizers
+ADDED = ("n_tokens", "ids_sha256", "decoded_sha256")
+#: Bytes of ids in one batch that goes back to Spark.
+BATCH = 4 << 20
+
 
-    return codec(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+def default_vocabulary() -> tuple[str, str]:
+    import public_tokenizers
 
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
-def digests(ids: Column, decoded: Column) -> list[Column]:
-    return [
-        (F.octet_length(ids) / 4).cast("long").alias("n_tokens"),
-        F.sha2(ids, 256).alias("ids_sha256"),
-        F.sha2(decoded, 256).alias("decoded_sha256"),
-    ]
 
+def encoded(docs: DataFrame, text: str = "text", keep_ids: bool = False, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """``docs`` without the text, with n_tokens, ids_sha256, decoded_sha256 and on wish ``ids``.
 
-def encoded(docs: DataFrame, text: str = "text", keep_ids: bool = False) -> DataFrame:
-    """``docs`` without the text, with n_tokens, ids_sha256, decoded_sha256 and on wish ``ids``."""
-    encode, decode = default_codec(docs.sparkSession)
-    rest = [c for c in docs.columns if c != text and c not in ("ids", "n_tokens", "ids_sha256", "decoded_sha256")]
-    df = docs.select(*(F.col(f"`{c}`") for c in rest), encode(F.col(text)).alias("ids"))
-    df = df.select(*(f"`{c}`" for c in rest), "ids", decode("ids").alias("__decoded"))
-    return df.select(*(f"`{c}`" for c in rest), *(["ids"] if keep_ids else []), *digests(F.col("ids"), F.col("__decoded")))
+    A worker holds one batch of texts and, of what it makes, one text's ids and bytes and ``BATCH`` bytes of results.
+    """
+    own_path, own_pattern = default_vocabulary() if path is None else (path, pattern)
+    shared, pattern = docs.sparkSession.sparkContext.broadcast(read_ranks(own_path)), pattern or own_pattern
+    kept = [c for c in docs.columns if c not in (text, "ids", *ADDED)]
+    added = (["ids"] if keep_ids else []) + list(ADDED)
+    kinds = {"ids": T.BinaryType(), "n_tokens": T.LongType()}
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(c, kinds.get(c, T.StringType())) for c in added])
+
+    def run(batches):
+        coder = coder_of(shared, pattern)
+        for batch in batches:
+            start, held, made = 0, 0, []
+            texts = batch.column(len(kept))
+            for at in range(batch.num_rows):
+                ids = coder.encode(texts[at].as_py() or "")
+                made.append((ids if keep_ids else None, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()))
+                held += len(ids) * keep_ids + 256
+                if held >= BATCH or at + 1 == batch.num_rows:
+                    columns = dict(zip(("ids", *ADDED), zip(*made, strict=True), strict=True))
+                    new = [pa.array(columns[c], {"ids": pa.binary(), "n_tokens": pa.int64()}.get(c, pa.string())) for c in added]
+                    old = batch.slice(start, at + 1 - start)
+                    yield pa.RecordBatch.from_arrays([*(old.column(i) for i in range(len(kept))), *new], names=[*kept, *added])
+                    start, held, made = at + 1, 0, []
+
+    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
 
 
 def op8_byte_bpe(spark, sf_dir: str) -> DataFrame:

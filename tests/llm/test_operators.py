@@ -393,3 +393,23 @@ def test_op4_copies_of_a_page_stay_whole(spark):
     out = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert {out[i] for i in range(5)} == {"Some text\npoint"} and {out[10 + i] for i in range(5)} == {"Own text"}
     assert {out[20 + i] for i in range(5)} == {"Some words"} and [out[30 + i] for i in range(5)] == [f"Text {i}" for i in range(5)]
+
+
+def test_op8_ordinary_texts_go_through_joins(coders, texts):
+    own, known = coders
+    before = own.joins
+    for text in list(texts.values())[:40]:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == known.encode_ordinary(text)
+    assert own.joins > before + 500
+
+
+def test_op8_any_pattern():
+    """What is known of one pattern is not used for another."""
+    import public_tokenizers
+    import tiktoken
+
+    ranks, pattern = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), r"\p{L}{1,3}|[^\p{L}]"
+    known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    assert public_tokenizers.PATTERN == bpe.WORDS_PATTERN
+    for text in ("over the hills and far", "a b\nc  d!", ""):
+        assert np.frombuffer(bpe.Coder(ranks, pattern).encode(text), "<u4").tolist() == known.encode_ordinary(text)
