@@ -9,15 +9,21 @@ repetition of a seeded part of them, taken in the order of a hash of the row.
 The part is exact to about one document without ordering a whole source in one
 task: sizes are summed by (source, hash prefix), a running sum over those few
 sums finds the prefix in which the part ends, and only rows of that prefix are
-ordered among themselves.
+ordered among themselves. The prefix is long enough for about ``BUCKET`` rows of
+the whole table, so what one task orders does not grow with the input.
 
 Null sources are a source of their own, the last. Null or empty texts have size
-0 and are repeated like other rows. Equal rows share a hash and stay next to one
-another. An empty table gives an empty mix.
+0 and are repeated like other rows. The hash is over id and text, so rows with one
+id, or none, are spread like others; equal rows share a hash and stay next to one
+another. An empty table gives an empty mix. A column named mix is replaced. The
+water level is found over one row a source, in one task: sources are meant to be
+thousands, not as many as documents.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +31,8 @@ from docengine.llm.words import n_pieces, pieces
 from docengine.shared import broadcast_if, materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Rows that share a hash prefix, about.
+BUCKET = 1024
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, max_epochs: float = 2.0) -> DataFrame:
@@ -64,16 +72,18 @@ def mix(
     weights=WEIGHTS,
     share: float = 1.5,
     max_epochs: float = 2.0,
-    prefix: int = 3,
+    prefix: int | None = None,
     max_broadcast_sources: int = 100_000,
 ) -> DataFrame:
     """``docs`` with a struct ``mix``: size, source_size, target, times (repetitions of the row).
 
-    ``prefix`` hex digits of the hash are the buckets of a source: about ``16 ** -prefix``
-    of its rows meet in one task. Thresholds, one row per source, are broadcast if there
+    ``prefix`` hex digits of the hash are the buckets of a source (by default enough for buckets of
+    ``BUCKET`` rows): about ``16 ** -prefix`` of its rows meet in one task. Thresholds, one row per source, are broadcast if there
     are ``max_broadcast_sources`` or fewer, else joined by a shuffle.
     """
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(doc_id).cast("string")))
+    if prefix is None:
+        prefix = max(2, math.ceil(math.log(max(docs.count(), 1) / BUCKET, 16)))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(doc_id).cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")))))
     rows = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), key.alias("u"), F.substring(key, 1, prefix).alias("bucket"))
     counted = lambda df: df.withColumn("cut", pieces(F.col(f"row.{text}"))).withColumn("size", n_pieces(F.col("cut"))).drop("cut")
     sums = materialize(counted(rows).groupBy("source", "bucket").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")), "mix-sums")
@@ -96,7 +106,7 @@ def mix(
     sure = counted(known.where(~here)).withColumn("more", F.coalesce(F.col("bucket") < F.col("end"), F.lit(True)) & (F.col("need") > 0))
     upto = F.sum("size").over(Window.partitionBy("source").orderBy("u", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     # a row is in if its middle is below the need
-    last = counted(known.where(here)).withColumn("upto", upto).withColumn("more", 2 * (F.col("before") + F.col("upto")) - F.col("size") <= 2 * F.col("need")).drop("upto")
+    last = counted(known.where(here)).withColumn("upto", upto).withColumn("more", (F.col("need") > 0) & (2 * (F.col("before") + F.col("upto")) - F.col("size") <= 2 * F.col("need"))).drop("upto")
     times: Column = F.col("whole") + F.col("more").cast("int")
     rest = [F.col("row")[c].alias(c) for c in docs.columns if c != "mix"]
     return sure.unionByName(last).select(*rest, F.struct("size", "source_size", "target", times.alias("times")).alias("mix"))
@@ -114,7 +124,7 @@ def op7_mix_sources(spark, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5('0|' || doc_id::VARCHAR) AS u,
+  SELECT doc_id, source, md5(concat_ws('|', '0', doc_id::VARCHAR, md5(coalesce(text, '')))) AS u,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
   FROM documents
 ), s AS (
