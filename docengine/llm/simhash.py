@@ -23,9 +23,17 @@ squared, and no link between different components is lost.
 Components: least reachable ids spread along the links, with pointer jumping, in rounds
 of joins and aggregations over written tables, until nothing changes.
 
-This is the contract of op1. ``near_duplicates``, of the pipeline, asks for more: all pairs with a
-Jaccard similarity of 5-word shingles of 0.8, which differ in about 10 of 64 bits, where blocks of a
-fingerprint are too short to be keys. It compares the sets of shingles, by ``similar_links``.
+This is the contract of op1. ``near_duplicates``, of the pipeline, links all pairs of texts with a
+Jaccard similarity of their sets of 5-word shingles of 0.8. These differ in about 10 of 64 bits, where
+blocks of a fingerprint are too short to be keys. Its buckets are therefore the sets that share a hash of
+their prefixes (see ``marked``), where all such pairs meet. In a bucket SimHashes of 128 bits are
+compared, bit-sliced as above, at a radius of 40: a pair of similarity 0.8 differs in 19.4 bits
+on average, and is over the radius with a chance of about 2 in a million. Pairs within it are checked by
+their sets. First each set meets only two others of its bucket, which makes a group of near copies one
+component; then all pairs of different components meet.
+
+Repeated rows and ties: equal texts are one vertex and come back row by row. An empty table gives an
+empty result. Other columns of the input are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -34,11 +42,11 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docengine.shared import broadcast_if, materialize
+from docengine.shared import broadcast_if, materialize, release
 
 #: Words of a shingle and differing bits of a link of the fingerprints of op1.
 SHINGLE = 3
@@ -47,6 +55,10 @@ RADIUS = 3
 #: Words of a shingle and least Jaccard similarity of near duplicates.
 WORDS = 5
 SIMILARITY = 0.8
+#: Bits of 128 in which the SimHashes of two sets of that similarity differ at most.
+WIDE_RADIUS = 40
+#: Bytes of one batch that goes back to Spark.
+BATCH = 4 << 20
 #: Sets of shingles that are counted, and shingles kept, to know the frequent ones.
 COUNTED = 2_000
 FREQUENT = 10_000
@@ -100,24 +112,36 @@ def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "fp") -> D
     return docs.withColumn(out, of(F.col(text)))
 
 
+def _words(values):
+    """Fingerprints as an array of shape (n, words of 64 bits)."""
+    return values.reshape(len(values), -1)
+
+
+def _planes(values, groups: int):
+    """Bit planes of ``values`` (groups * 64 fingerprints): planes[b][g] has bit b of the fingerprints of group g, one lane each."""
+    import numpy as np
+
+    n = values.shape[1]
+    bits = np.unpackbits(np.ascontiguousarray(values).view(np.uint8).reshape(groups, 64, 8 * n), axis=2, bitorder="little")
+    return np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").reshape(64 * n, groups, 8).copy().view("<u8")[:, :, 0]
+
+
 def sliced_links(first, second, same: bool, radius: int = RADIUS):
-    """Pairs (i, j) of positions in two uint64 arrays that differ in ``radius`` bits or fewer, in chunks.
+    """Pairs (i, j) of positions in two arrays of fingerprints that differ in ``radius`` bits or fewer, in chunks.
 
-    With ``same``, both are one array and pairs have i < j.
+    Fingerprints are uint64, or rows of several. With ``same``, both are one array and pairs have i < j.
     """
     import numpy as np
 
+    first, second = _words(first), _words(second)
     n, m = len(first), len(second)
     groups = -(-m // 64)
-    padded = np.zeros(groups * 64, dtype=np.uint64)
+    padded = np.zeros((groups * 64, second.shape[1]), dtype=np.uint64)
     padded[:m] = second
-    # planes[b][g]: bit b of the 64 fingerprints of group g, one lane each
-    bits = np.unpackbits(padded.view(np.uint8).reshape(groups, 64, 8), axis=2, bitorder="little")
-    planes = np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").reshape(64, groups, 8).copy().view("<u8")[:, :, 0]
+    planes = _planes(padded, groups)
     lanes = np.full(groups, ~np.uint64(0))
     if m % 64:
         lanes[-1] = np.uint64((1 << (m % 64)) - 1)
-    zero = np.uint64(0)
     per = max(1, CHUNK // max(1, groups))
     for start in range(0, n, per):
         stop = min(n, start + per)
@@ -127,33 +151,32 @@ def sliced_links(first, second, same: bool, radius: int = RADIUS):
         if same:
             keep = at >= rows // 64
             rows, at = rows[keep], at[keep]
-        yield from _compare(first, planes, lanes, rows, at, radius, zero, same)
+        yield from _compare(first, planes, lanes, rows, at, radius, same)
 
 
-def _compare(first, planes, lanes, rows, at, radius, zero, same):
+def _compare(first, planes, lanes, rows, at, radius, same):
+    """Of fingerprints ``rows`` and groups ``at``, side by side: the pairs of fingerprint and lane within the radius."""
     import numpy as np
 
-    # carry-save counters: a lane's count is one + 2 * two + 4 * four, until it is over the radius for good
-    values = first[rows]
+    zero, one = np.uint64(0), np.uint64(1)
+    values, total = first[rows], planes.shape[0]
     over = ~lanes[at]
-    one, two, four = np.zeros_like(over), np.zeros_like(over), np.zeros_like(over)
-    for bit in range(64):
-        wave = planes[bit][at] ^ (zero - ((values >> np.uint64(bit)) & np.uint64(1)))
-        carry = one & wave
-        one ^= wave
-        wave = two & carry
-        two ^= carry
-        carry = four & wave
-        four ^= wave
-        over |= carry
-        over |= _exceeds(one, two, four, radius)
-        if bit % 8 == 7 and bit >= 15:
-            live = ~over != 0
+    # carry-save counters: a lane's count is the sum of 2**k of its bits, until it is over for good
+    counts = [np.zeros_like(over) for _ in range(radius.bit_length())]
+    for bit in range(total):
+        wave = planes[bit][at] ^ (zero - ((values[:, bit // 64] >> np.uint64(bit % 64)) & one))
+        for count in counts:
+            carry = count & wave
+            count ^= wave
+            wave = carry
+        over |= wave
+        if bit + 1 == total or bit % 8 == 7 and bit > 2 * radius:
+            live = ~(over | _exceeds(counts, radius)) != 0
             if not live.any():
                 return
             if live.mean() < 0.7:
-                rows, at, values, over, one, two, four = (x[live] for x in (rows, at, values, over, one, two, four))
-    near = (~over).astype("<u8")
+                rows, at, values, over, *counts = (x[live] for x in (rows, at, values, over, *counts))
+    near = (~(over | _exceeds(counts, radius))).astype("<u8")
     hit = np.nonzero(near)[0]
     for k in range(0, len(hit), 4096):
         part = hit[k : k + 4096]
@@ -166,15 +189,18 @@ def _compare(first, planes, lanes, rows, at, radius, zero, same):
             yield i, j
 
 
-def _exceeds(one, two, four, radius):
-    """Lanes whose count is over the radius, up to 7."""
-    if radius == 3:
-        return four
-    out = None
-    for count in range(radius + 1, 8):
-        lane = (one if count & 1 else ~one) & (two if count & 2 else ~two) & (four if count & 4 else ~four)
-        out = lane if out is None else out | lane
-    return out
+def _exceeds(counts, radius):
+    """Lanes whose count is over the radius, by comparing bits from the highest down."""
+    import numpy as np
+
+    greater, equal = np.zeros_like(counts[0]) if counts else np.uint64(0), ~np.uint64(0)
+    for k in reversed(range(len(counts))):
+        if radius >> k & 1:
+            equal = equal & counts[k]
+        else:
+            greater = greater | (equal & counts[k])
+            equal = equal & ~counts[k]
+    return greater
 
 
 class Forest:
@@ -203,89 +229,96 @@ class Forest:
                 root[:] = up
 
 
-def _within(values) -> tuple:
-    """Links of a forest of one set of fingerprints."""
+def bucket_links(keys, values, radius: int = RADIUS):
+    """Pairs (i, j), i < j, of positions with equal ``keys`` (which stand together) within the radius, in chunks.
+
+    Buckets of up to 64 share one pass over all their rows: each has one word of planes.
+    """
+    import numpy as np
+
+    values = _words(values)
+    cut = np.concatenate([[0], np.nonzero(np.diff(keys))[0] + 1, [len(keys)]])
+    sizes = np.diff(cut)
+    # single rows have no partner
+    for k in np.nonzero(sizes > 64)[0]:
+        part = values[cut[k] : cut[k + 1]]
+        for i, j in sliced_links(part, part, True, radius):
+            yield cut[k] + i, cut[k] + j
+    few = np.nonzero((sizes > 1) & (sizes <= 64))[0]
+    for part in np.array_split(few, max(1, -(-int(sizes[few].sum()) // CHUNK))) if len(few) else []:
+        size = sizes[part]
+        which = np.repeat(np.arange(len(part)), size)
+        lane = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+        rows = np.repeat(cut[part], size) + lane
+        padded = np.zeros((len(part), 64, values.shape[1]), dtype=np.uint64)
+        padded[which, lane] = values[rows]
+        planes = _planes(padded.reshape(-1, values.shape[1]), len(part))
+        lanes = np.where(size == 64, ~np.uint64(0), (np.uint64(1) << (size % 64).astype(np.uint64)) - np.uint64(1))
+        first = np.cumsum(size) - size
+        for i, j in _compare(values[rows], planes, lanes, np.arange(len(rows)), which, radius, False):
+            # lane numbers become positions; a pair is seen from both sides, and each row from itself
+            j = first[which[i]] + j % 64
+            yield rows[i[i < j]], rows[j[i < j]]
+
+
+def whole_buckets(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
+    """The columns ``names`` of sorted ``batches`` as arrays, in chunks that end where a bucket (the first column) ends."""
+    import numpy as np
+
+    held: list = []
+    for batch in batches:
+        held.append([batch.column(c).to_numpy() for c in names])
+        if sum(len(x[0]) for x in held) >= 1 << 16:
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            key = columns[0]
+            whole = int(np.nonzero(key != key[-1])[0][-1]) + 1 if key[0] != key[-1] else 0  # the last bucket may go on
+            if whole:
+                yield [x[:whole] for x in columns]
+            held = [[x[whole:] for x in columns]]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _forest_batch(values, pairs) -> pa.RecordBatch:
+    """Links (a, b) of a forest over positions of ``values``."""
     import numpy as np
 
     forest = Forest(len(values))
-    for i, j in sliced_links(values, values, True):
+    for i, j in pairs:
         forest.add(i, j)
     child = np.nonzero(forest.root != np.arange(len(values)))[0]
-    return values[child], values[forest.root[child]]
+    a, b = values[child], values[forest.root[child]]
+    return pa.record_batch([pa.array(a.view("i8")), pa.array(b.view("i8"))], names=["a", "b"])
 
 
-def _across(left, right) -> tuple:
+def small_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp), a bucket's rows together: links within each bucket."""
     import numpy as np
 
-    forest, n = Forest(len(left) + len(right)), len(left)
-    for i, j in sliced_links(left, right, False):
-        forest.add(i, n + j)
-    both = np.concatenate([left, right])
-    child = np.nonzero(forest.root != np.arange(len(both)))[0]
-    return both[child], both[forest.root[child]]
+    for keys, fps in whole_buckets(batches, ["key", "fp"]):
+        values = fps.view(np.uint64)
+        yield _forest_batch(values, bucket_links(keys, values))
 
 
-def small_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp), a bucket's rows together: links within each bucket.
-
-    Buckets of up to 64 share one pass over all their rows: each has one word of planes.
-    """
+def _parts(part, values, radius: int):
+    """Pairs of positions within the radius: of one part with itself, or of two with one another."""
     import numpy as np
 
-    def links(keys, values):
-        cut = np.concatenate([[0], np.nonzero(np.diff(keys))[0] + 1, [len(keys)]])
-        sizes = np.diff(cut)
-        # single rows have no partner
-        for k in np.nonzero(sizes > 64)[0]:
-            yield _within(values[cut[k] : cut[k + 1]])
-        few = np.nonzero((sizes > 1) & (sizes <= 64))[0]
-        for part in np.array_split(few, max(1, -(-int(sizes[few].sum()) // CHUNK))) if len(few) else []:
-            size = sizes[part]
-            which = np.repeat(np.arange(len(part)), size)
-            lane = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
-            rows = np.repeat(cut[part], size) + lane
-            mine = values[rows]
-            padded = np.zeros((len(part), 64), dtype=np.uint64)
-            padded[which, lane] = mine
-            bits = np.unpackbits(padded.view(np.uint8).reshape(len(part), 64, 8), axis=2, bitorder="little")
-            planes = np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").reshape(64, len(part), 8).copy().view("<u8")[:, :, 0]
-            lanes = np.where(size == 64, ~np.uint64(0), (np.uint64(1) << (size % 64).astype(np.uint64)) - np.uint64(1))
-            first = np.cumsum(size) - size
-            forest = Forest(len(rows))
-            for i, j in _compare(mine, planes, lanes, np.arange(len(rows)), which, RADIUS, np.uint64(0), False):
-                # lane numbers become positions; a pair is seen from both sides, and each row from itself
-                j = first[which[i]] + j % 64
-                forest.add(i[i < j], j[i < j])
-            child = np.nonzero(forest.root != np.arange(len(rows)))[0]
-            yield mine[child], mine[forest.root[child]]
-
-    keys, values = [], []
-    for batch in batches:
-        keys.append(batch.column("key").to_numpy())
-        values.append(batch.column("fp").to_numpy().view(np.uint64))
-        if sum(map(len, keys)) >= 1 << 16:
-            k, v = np.concatenate(keys), np.concatenate(values)
-            whole = int(np.nonzero(k != k[-1])[0][-1]) + 1 if k[0] != k[-1] else 0  # the last bucket may go on
-            yield from _batches(links(k[:whole], v[:whole]))
-            keys, values = [k[whole:]], [v[whole:]]
-    if keys:
-        yield from _batches(links(np.concatenate(keys), np.concatenate(values)))
-
-
-def _batches(found) -> Iterator[pa.RecordBatch]:
-    for a, b in found:
-        if len(a):
-            yield pa.record_batch([pa.array(a.view("i8")), pa.array(b.view("i8"))], names=["a", "b"])
+    parts = np.unique(part)
+    if len(parts) < 2:
+        yield from sliced_links(values, values, True, radius)
+        return
+    left, right = np.nonzero(part == parts[0])[0], np.nonzero(part == parts[1])[0]
+    for i, j in sliced_links(values[left], values[right], False, radius):
+        yield left[i], right[j]
 
 
 def part_pair(table: pa.Table) -> pa.Table:
     """One pair of parts of a large bucket: its links."""
     import numpy as np
 
-    part, value = table.column("part").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
-    parts = np.unique(part)
-    a, b = _within(value) if len(parts) < 2 else _across(value[part == parts[0]], value[part == parts[1]])
-    return pa.table({"a": pa.array(a.view("i8")), "b": pa.array(b.view("i8"))})
+    part, values = table.column("part").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
+    return pa.Table.from_batches([_forest_batch(values, _parts(part, values, RADIUS))])
 
 
 def masks(agree: int, radius: int = RADIUS) -> list[int]:
@@ -304,17 +337,25 @@ def links(fps: DataFrame, split: int = SPLIT, agree: int | None = None) -> DataF
         agree = 1 if n <= 1 << 24 else 2 if n <= 1 << 33 else 3
     # keys that collide only merge buckets
     keys = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks(agree))]
-    rows = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+    rows = fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    few, many = parted(rows, "fp", split)
+    return few.mapInArrow(small_buckets, schema).unionByName(many.groupBy("key", "x", "y").applyInArrow(part_pair, schema))
+
+
+def parted(rows: DataFrame, value: str, split: int = SPLIT) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (key, ...) of buckets of ``split`` or fewer, each together and sorted, and those of larger ones.
+
+    The latter are dealt into parts by a hash of ``value``; a part meets itself and each
+    other part in a group (key, x, y) of its own.
+    """
     large = rows.groupBy("key").count().where(F.col("count") > split).select("key", F.ceil(F.col("count") / split).cast("int").alias("parts"))
     large = broadcast_if(materialize(large, "large-buckets"), 100_000)
     few = rows.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key")
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    out = few.mapInArrow(small_buckets, schema)
-    many = rows.join(large, "key").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    # a part meets itself and each other part in a group of its own
+    many = rows.join(large, "key").withColumn("part", F.pmod(F.xxhash64(value), F.col("parts")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("x"), F.greatest(o, F.col("part")).alias("y")))
-    many = many.select("key", "fp", "part", F.explode(pairs).alias("pair")).select("key", "fp", "part", "pair.x", "pair.y")
-    return out.unionByName(many.groupBy("key", "x", "y").applyInArrow(part_pair, schema))
+    many = many.withColumn("pair", F.explode(pairs)).select(*rows.columns, "part", "pair.x", "pair.y")
+    return few, many
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -337,9 +378,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         jump = low.select(F.col("v").alias("low"), F.col("low").alias("up"))
         fresh = low.join(jump, "low", "left").select("v", F.least("low", F.coalesce("up", "low")).alias("root"), F.col("root").alias("old"))
         fresh = materialize(fresh, "roots")
+        release(low, state)
         if not fresh.where("root <> old").limit(1).count():
+            release(both)
             return fresh.select("v", "root")
-        state = fresh.select("v", "root")
+        state = fresh
     raise RuntimeError("components did not settle")
 
 
@@ -361,8 +404,108 @@ def near_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     return marked.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
+def marks_of(text: str | None, words: int):
+    """Of a text's set of shingles: (hash of the set, two words of its SimHash, the sorted hashes)."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    hashes = np.unique(shingles(text, words))
+    if not len(hashes):
+        return 0, 0, 0, hashes
+    # the second word takes its bits from the hashes mixed once more
+    mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    both = np.stack([hashes, mixed ^ (mixed >> np.uint64(29))], axis=1)
+    ones = np.zeros(128, dtype=np.int64)
+    for i in range(0, len(both), 1 << 14):
+        ones += np.unpackbits(both[i : i + (1 << 14)].view(np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    first, second = np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8").tolist()
+    whole = xxh64_intdigest(hashes.tobytes(), SEED)
+    return (whole - (1 << 64) if whole >> 63 else whole) or 1, first, second, hashes
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], kept: int, make, fields: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """``batches`` with the last column, texts, replaced by what ``make`` gives for each, in batches of about ``BATCH`` bytes."""
+    for batch in batches:
+        start, held, made, texts = 0, 0, [], batch.column(kept)
+        for at in range(batch.num_rows):
+            row, size = make(texts[at].as_py())
+            made.append(row)
+            held += size
+            if held >= BATCH or at + 1 == batch.num_rows:
+                old = batch.slice(start, at + 1 - start)
+                new = [pa.array(x, kind) for x, (_, kind) in zip(zip(*made, strict=True), fields, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(old.column(i) for i in range(kept)), *new], names=[*batch.schema.names[:kept], *(c for c, _ in fields)])
+                start, held, made = at + 1, 0, []
+
+
+def frequent_shingles(docs: DataFrame, words: int) -> list[tuple[int, int]]:
+    """(hash, count), by hash, of shingles that recur in a sample of texts. They only settle an order, so results do not depend on the sample."""
+    n = docs.count()
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, COUNTED / max(n, 1))))).select("text").dropDuplicates(["text"])
+
+    def hashes(batches):
+        make = lambda text: ((marks_of(text, words)[3].view("<i8"),), 8 * len(text or ""))
+        return _sliced(batches, 0, make, [("hashes", pa.list_(pa.int64()))])
+
+    rows = sample.mapInArrow(hashes, "hashes array<long>").select(F.explode("hashes").alias("h"))
+    often = rows.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(FREQUENT).collect()
+    return sorted((r["h"], r["count"]) for r in often)
+
+
+def marked(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(doc_id, fp, s1, s2, prefix) for each row of ``docs`` (doc_id, text).
+
+    Two sets of the similarity share one of the first ``n - ceil(similarity * n) + 1`` of n hashes in any
+    order that is common to all sets: prefix. Frequent shingles come last, which keeps passages of many
+    texts out of it.
+    """
+    often = frequent_shingles(docs, words)
+
+    def run(batches):
+        import math
+
+        import numpy as np
+
+        known, count = np.array([h for h, _ in often], np.int64), np.array([c for _, c in often], np.int64)
+
+        def make(text):
+            fp, s1, s2, hashes = marks_of(text, words)
+            x = hashes.view("<i8")
+            rank = np.zeros(len(x), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                rank = np.where(known[at] == x, count[at], 0)
+            prefix = x[np.lexsort((x, rank))][: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1] if len(x) else x
+            return (fp, s1, s2, prefix), 64 + 8 * len(prefix)
+
+        return _sliced(batches, 1, make, [("fp", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long, s1 long, s2 long, prefix array<long>")
+
+
+def sets_of(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, fp, hashes): the sets themselves, as sorted 32-bit halves of their hashes.
+
+    Of sets of n shingles, about n * n / 2**32 shingles seem common that are not.
+    """
+
+    def run(batches):
+        import numpy as np
+
+        def make(text):
+            fp, _, _, hashes = marks_of(text, words)
+            low = np.unique(hashes.astype(np.uint32)).view("<i4")
+            return (fp, low), 16 + 4 * len(low)
+
+        return _sliced(batches, 1, make, [("fp", pa.int64()), ("hashes", pa.list_(pa.int32()))])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long, hashes array<int>")
+
+
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) of sets whose Jaccard similarity is ``similarity`` at least."""
+    """The ``pairs`` (a, b) of ``sets`` (fp, hashes) whose Jaccard similarity is ``similarity`` at least."""
 
     @F.arrow_udf("boolean")
     def alike(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -378,91 +521,122 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             out.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
         return pa.array(out, pa.bool_())
 
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "compared")
-    sets = sets.join(broadcast_if(ids, BROADCAST), "v", "left_semi")
-    first, second = (sets.select(F.col("v").alias(c), F.col("hashes").alias(f"of_{c}")) for c in "ab")
+    first, second = (sets.select(F.col("fp").alias(c), F.col("hashes").alias(f"of_{c}")) for c in "ab")
     return pairs.join(first, "a").join(second, "b").where(alike("of_a", "of_b")).select("a", "b")
 
 
-def similar_links(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) that connect ``sets`` (v, hashes) as all pairs of Jaccard ``similarity`` or more would.
+def close(pairs: DataFrame, sims: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) whose SimHashes (``sims``: fp, s1, s2) differ in ``WIDE_RADIUS`` bits or fewer."""
+    first, second = (sims.select(F.col("fp").alias(c), F.col("s1").alias(f"{c}1"), F.col("s2").alias(f"{c}2")) for c in "ab")
+    apart = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
+    return pairs.join(first, "a").join(second, "b").where(apart <= WIDE_RADIUS).select("a", "b")
 
-    Two such sets share one of the first ``n - ceil(similarity * n) + 1`` of n hashes in any
-    order that is common to all sets. Shingles that are frequent in a sample come last, which
-    keeps passages of many texts out of these. Each set is first compared with the least and the
-    last set of its hashes, so a group of near copies becomes one component; then all pairs of
-    sets that share such a hash and are in different components are compared.
-    """
-    n = sets.count()
-    sample = sets.where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, COUNTED / max(n, 1)))))
-    often = sample.select(F.explode("hashes").alias("h")).groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(FREQUENT).collect()
-    often = sorted((r["h"], r["count"]) for r in often)
 
-    @F.arrow_udf("array<long>")
-    def firsts(rows: pa.Array) -> pa.Array:
-        import math
+def near_pairs(rows: DataFrame, split: int = SPLIT) -> DataFrame:
+    """Pairs (a, b) of different roots in a bucket of ``rows`` (key, fp, root, s1, s2) whose SimHashes differ in ``WIDE_RADIUS`` bits or fewer."""
+    names = ["key", "fp", "root", "s1", "s2"]
 
+    def pairs(fp, root, found):
         import numpy as np
 
-        known, count, out = np.array([h for h, _ in often], np.int64), np.array([c for _, c in often], np.int64), []
-        for r in rows:
-            x = r.values.to_numpy()
-            rank = np.zeros(len(x), np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                rank = np.where(known[at] == x, count[at], 0)
-            out.append(x[np.lexsort((x, rank))][: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1])
-        return pa.array(out, pa.list_(pa.int64()))
-
-    rows = materialize(sets.where(F.size("hashes") > 0).select("v", F.explode(firsts("hashes")).alias("h")), "prefixes")
-    # hashes of one set only, which most are, go at once
-    ends = materialize(rows.groupBy("h").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low <> high"), "ends")
-    rows = materialize(rows.join(broadcast_if(ends, BROADCAST), "h"), "shared")
-    pair = [F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")]
-    star = rows.select("v", F.explode(F.array("low", "high")).alias("w")).where("v <> w").select(*pair).distinct()
-    star = materialize(star, "pairs")
-    found = materialize(similar(star, sets, similarity), "similar")
-    roots = components(found).withColumnRenamed("v", "u")
-    placed = materialize(rows.join(roots, F.col("v") == F.col("u"), "left").select("h", "v", F.coalesce("root", "v").alias("root")), "placed")
-    mixed = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
-    left = materialize(placed.join(mixed, "h"), "mixed")
-    right = left.select("h", F.col("v").alias("w"), F.col("root").alias("other"))
-    rest = left.join(right, "h").where((F.col("v") < F.col("w")) & (F.col("root") != F.col("other"))).select(*pair).distinct()
-    rest = materialize(rest.join(star, ["a", "b"], "left_anti"), "pairs")
-    return found.unionByName(similar(rest, sets, similarity))
-
-
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of ``docs``, linked at a Jaccard similarity of their shingles
-    of ``words`` words; fp is a hash of the set of shingles, component_id the least id of the component.
+        for i, j in found:
+            keep = root[i] != root[j]
+            a, b = fp[i[keep]], fp[j[keep]]
+            if len(a):
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    Rows with equal ids count as one document; a null id is no component's name unless no other is there.
-    """
+    def small(batches):
+        import numpy as np
 
-    @F.arrow_udf("array<long>")
-    def set_of(texts: pa.Array) -> pa.Array:
+        for key, fp, root, s1, s2 in whole_buckets(batches, names):
+            yield from pairs(fp, root, bucket_links(key, np.stack([s1, s2], axis=1).view(np.uint64), WIDE_RADIUS))
+
+    def two_parts(table: pa.Table) -> pa.Table:
         import numpy as np
 
-        return pa.array([np.unique(shingles(x.as_py(), words).view("<i8")) for x in texts], pa.list_(pa.int64()))
-
-    hashed = docs.select(F.col(doc_id).alias("doc_id"), set_of(F.col(text)).alias("hashes")).withColumn("fp", F.when(F.size("hashes") == 0, F.lit(0)).otherwise(F.xxhash64("hashes")))
-    hashed = materialize(hashed, "shingles")
-    marked = hashed.select("doc_id", "fp")
-    firsts = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "firsts")
-    # one row of each set; sets that stand on one row need no shuffle where the others are few
-    again = broadcast_if(firsts.where("rows > 1").select("fp"), BROADCAST)
-    once = hashed.join(again, "fp", "left_anti").select("fp", "hashes")
-    many = hashed.join(again, "fp", "left_semi").join(firsts.select("fp", F.col("first").alias("doc_id")), ["fp", "doc_id"]).select("fp", "hashes").dropDuplicates(["fp"])
-    void = hashed.where("doc_id is null").join(firsts.where("rows > 1 and first is null").select("fp"), "fp", "left_semi").select("fp", "hashes").dropDuplicates(["fp"])
-    sets = once.unionByName(many).unionByName(void).withColumnRenamed("fp", "v")
+        part, fp, root, s1, s2 = (table.column(c).to_numpy() for c in ("part", *names[1:]))
+        found = list(pairs(fp, root, _parts(part, np.stack([s1, s2], axis=1).view(np.uint64), WIDE_RADIUS)))
+        return pa.Table.from_batches(found, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    few, many = parted(rows, "fp", split)
+    return few.mapInArrow(small, "a long, b long").unionByName(many.groupBy("key", "x", "y").applyInArrow(two_parts, "a long, b long")).distinct()
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, split: int = SPLIT) -> DataFrame:
+    """(doc_id, fp, component_id, root) for each row of ``docs``, linked at a Jaccard similarity of their shingles
+    of ``words`` words; fp is a hash of the set of shingles, component_id the least id of the component, root its least fp.
+
+    Rows with equal ids count as one document; a null id is no component's name unless no other is there.
+    """
+    docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    marks = materialize(marked(docs, words, similarity), "marks")
+    firsts = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("s1").alias("s1"), F.min("s2").alias("s2")), "firsts")
+    # a bucket: the sets that share a hash of their prefixes; most have one set and go at once
+    rows = marks.select("fp", "prefix").dropDuplicates(["fp"]).select("fp", F.explode("prefix").alias("key"))
+    order = Window.partitionBy("key").orderBy("fp")
+    rows = rows.withColumns({"before": F.lag("fp").over(order), "after": F.lead("fp").over(order), "low": F.first("fp").over(order)})
+    buckets = materialize(rows.where("before is not null or after is not null").select("key", "fp", "before", "low"), "buckets")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` that have the similarity, by their sets."""
+        pairs = materialize(pairs, "pairs")
+        need = materialize(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(firsts.select("fp", "first"), "fp"), "compared")
+        few = broadcast_if(need, BROADCAST)
+        # where the texts that are needed are few, only these are cut into shingles again
+        some = docs if few is need else docs.join(few, docs["doc_id"].eqNullSafe(few["first"]), "left_semi")
+        sets = sets_of(some, words).withColumnRenamed("fp", "of").join(few, (F.col("of") == F.col("fp")) & F.col("doc_id").eqNullSafe(F.col("first")))
+        sets = materialize(sets.select("fp", "hashes").dropDuplicates(["fp"]), "sets")
+        out = materialize(similar(pairs, sets, similarity), "similar")
+        release(sets, need, pairs)
+        return out
+
+    pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    # each set with the one before it and with the first: a group of near copies becomes one component
+    star = buckets.where("before is not null").select(F.explode(F.array(pair("fp", "before"), pair("fp", "low"))).alias("p")).select("p.*").distinct()
+    star = materialize(star, "star")
+    found = checked(close(star, firsts))
+    # then all pairs of different components
+    roots = components(found).withColumnRenamed("v", "fp")
+    placed = materialize(buckets.select("key", "fp").join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root")), "placed")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    rows = materialize(placed.join(mixed, "key", "left_semi").join(firsts.select("fp", "s1", "s2"), "fp").select("key", "fp", "root", "s1", "s2"), "mixed")
+    release(placed, buckets)
+    rest = checked(near_pairs(rows, split).join(star, ["a", "b"], "left_anti"))
     # a document whose id stands on several rows connects their sets
-    twice = marked.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b")
-    shared = marked.join(twice.select("doc_id", F.col("a").alias("a")), "doc_id").select("a", F.col("fp").alias("b")).where("a <> b")
-    roots = components(similar_links(sets, similarity).unionByName(shared)).withColumnRenamed("v", "fp")
+    twice = marks.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b")
+    shared = marks.select("doc_id", "fp").join(twice.select("doc_id", "a"), "doc_id").select("a", F.col("fp").alias("b")).where("a <> b")
+    roots = components(found.unionByName(rest).unionByName(shared)).withColumnRenamed("v", "fp")
     of = firsts.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = materialize(of.join(least, "root").select("fp", "component_id"), "components")
-    return marked.join(names, "fp").select("doc_id", "fp", "component_id")
+    names = materialize(of.join(least, "root").select("fp", "component_id", "root"), "components")
+    release(rows, star, found, rest)
+    return marks.select("doc_id", "fp").join(names, "fp").select("doc_id", "fp", "component_id", "root")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Of each group of ``near_duplicates`` one row of ``docs``: that of the least id; of rows with that id, that of the least hash.
+
+    Rows without an id count by their text: they go where their group has an id, and one stays where it has none.
+    """
+    groups = materialize(near_duplicates(docs, doc_id, text, **options), "groups")
+    firsts = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__first")).agg(F.count(F.lit(1)).alias("__n"))
+    firsts = materialize(firsts, "kept")
+    at = F.col(f"`{doc_id}`")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    least = F.min_by("row", F.xxhash64(*(F.col("row")[c] for c in docs.columns))).alias("row")
+    one = docs.join(firsts.where("__n = 1"), at == F.col("__first"), "left_semi")
+    several = docs.join(firsts.where("__n > 1"), at == F.col("__first"), "left_semi").select(at.alias("id"), whole.alias("row")).groupBy("id").agg(least)
+    nameless = groups.where("component_id is null").select("fp", "root").distinct()
+    void = docs.where(at.isNull()).select(whole.alias("row"), at.alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    # the sets' hashes again, beside the rows
+    words = options.get("words", WORDS)
+
+    @F.arrow_udf("long")
+    def mark(texts: pa.Array) -> pa.Array:
+        return pa.array([marks_of(x.as_py(), words)[0] for x in texts], pa.int64())
+
+    void = void.select("row", mark("text").alias("fp")).join(nameless, "fp").groupBy("root").agg(least)
+    return one.unionByName(several.select("row.*")).unionByName(void.select("row.*"))
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
