@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from docengine.llm import bpe, html, langid, licenses, merkle, mixing, ngrams, quality, simhash, urls
 
@@ -413,3 +414,63 @@ def test_op8_any_pattern():
     assert public_tokenizers.PATTERN == bpe.WORDS_PATTERN
     for text in ("over the hills and far", "a b\nc  d!", ""):
         assert np.frombuffer(bpe.Coder(ranks, pattern).encode(text), "<u4").tolist() == known.encode_ordinary(text)
+
+
+LEAF = re.compile(r"[^\n]{0,94}?(?:[a-d][ \t]|[.!?;\u3002\uff01\uff1f])|[^\n]{1,96}")
+
+
+def plain_tree(text):
+    """Sections as tuples (hash, paragraphs), paragraphs as tuples (hash, leaves)."""
+    import xxhash
+
+    h = lambda s: f"{xxhash.xxh64_intdigest(s.encode(), seed=42):016x}"
+    sections, open_ = [], []
+    for line in text.split("\n"):
+        long = [h(x) for x in LEAF.findall(line)]
+        open_.append((h("".join(long)), tuple(x[8:] for x in long)))
+        if open_[-1][0][15] in "048c":
+            sections, open_ = [*sections, tuple(open_)], []
+    return [(h("".join(p[0] for p in s)), s) for s in (*sections, *([tuple(open_)] if open_ else []))]
+
+
+def plain_mark(tree):
+    root = hashlib.sha256("".join(s[0] for s in tree).encode()).hexdigest()[:32]
+    return root + ":" + "/".join(s[0] + "=" + ",".join(p[0] + "".join(p[1]) for p in s[1]) for s in tree)
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    distinct = lambda rows: list(dict.fromkeys(rows))
+    n = sum(len(p[1]) for s in set(a) & set(b) for p in s[1])
+    pa, pb = (distinct(p for s in x if s not in set(y) for p in s[1]) for x, y in ((a, b), (b, a)))
+    n += sum(len(p[1]) for p in set(pa) & set(pb))
+    la, lb = ({v for p in x if p not in set(y) for v in p[1]} for x, y in ((pa, pb), (pb, pa)))
+    every = 2 * n + len(la) + len(lb)
+    return 2 * (n + len(la & lb)) / every if every else 1.0
+
+
+def test_op3_against_a_plain_tree(spark, sf, texts):
+    ids = sorted(texts)
+    out = {r["doc_id"]: r for r in merkle.op3_merkle_fingerprints(spark, sf).collect()}
+    for k, i in enumerate(ids):
+        text, after = texts[i], texts[ids[(k + 1) % len(ids)]]
+        half = len(text) // 2
+        own, edited, following = map(plain_tree, (text, text[: len(text) - half] + after[:half], after))
+        assert (out[i]["fingerprint"], out[i]["edited_fingerprint"]) == (plain_mark(own), plain_mark(edited))
+        assert out[i]["near_edited"] == pytest.approx(plain_likeness(own, edited)) and out[i]["near_next"] == pytest.approx(plain_likeness(own, following))
+
+
+def test_op3_one_insertion_in_one_long_paragraph(spark):
+    rng = random.Random(4)
+    text = " ".join(rng.choice("the cold sea was not old and far from a red hill".split()) for _ in range(3000))
+    rows = [(text, "new words here " + text), (text, text[:4000] + "x" + text[4000:])]
+    marks = spark.createDataFrame(rows, "a string, b string").select(*(merkle.fingerprint(merkle.leaves(F.col(c))).alias(c) for c in "ab"))
+    assert all(r[0] > 0.9 for r in marks.select(merkle.likeness(F.col("a"), F.col("b"))).collect())
+
+
+def test_op3_next_text_keeps_nulls_and_columns(spark):
+    rows = [(1, "a", 1, "q"), (2, None, 2, "q"), (3, "z", 3, "q"), (700, "y", 4, None)]
+    out = merkle.with_next(spark.createDataFrame(rows, "doc_id long, text string, bucket int, k string"))
+    assert out.columns == ["doc_id", "text", "bucket", "k", "next_text"]
+    assert {r["doc_id"]: (r["bucket"], r["next_text"]) for r in out.collect()} == {1: (1, None), 2: (2, "z"), 3: (3, "y"), 700: (4, "a")}
