@@ -3,8 +3,8 @@
 The network reads UTF-8 bytes in blocks of ``BLOCK``, forwards and backwards, and labels
 every position; the mean of the label probabilities over all positions of the whole text
 is the document's. It is trained here, in numpy, by backpropagation through time on a
-bounded sample: one stretch of ``BLOCK_TRAIN`` bytes of each of the ``max_labelled`` labelled
-documents with the smallest hash of their id. Labels and ids are used for nothing else.
+bounded sample: ``stretches`` pieces of ``BLOCK_TRAIN`` bytes, spread over the whole text, of each of
+the ``max_labelled`` labelled documents with the smallest hash. Labels and ids are used for nothing else.
 
 Texts without a letter, null and empty ones are ``und`` with score 0, and so is every
 text if nothing is labelled. Equal texts get equal results. An empty table gives an
@@ -188,15 +188,23 @@ def probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
     return total / np.maximum(sizes, 1)[:, None]
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_labelled: int = 4000, **options) -> Network | None:
-    """A network for the labels of ``docs``; None without labels."""
-    h = F.xxhash64(F.col(doc_id))
-    at = F.pmod(h, F.greatest(F.length(text) - BLOCK_TRAIN, F.lit(1))).cast("int") + 1
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    rows = known.select(h.alias("h"), F.col(lang).alias("lang"), F.substr(text, at, F.lit(BLOCK_TRAIN)).alias("part"))
-    n = docs.where(F.col(lang).isNotNull()).count()
-    got = smallest(rows, "h", max_labelled, n, "lang", "part").collect()
-    return train([r["part"].encode() for r in got], [r["lang"] for r in got], **options) if got else None
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_labelled: int = 4000, stretches: int = 4, **options) -> Network | None:
+    """A network for the labels of ``docs``; None without labels. Rows without an id teach nothing.
+
+    ``max_labelled`` different documents are learnt from, by ``stretches`` pieces of each, which
+    lie evenly over the whole text, from a start that the hash gives.
+    """
+    h = F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
+    known = docs.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{doc_id}`").isNotNull() & F.col(f"`{text}`").rlike(r"\p{L}"))
+    chosen = smallest(known.select(h.alias("h"), F.col(f"`{lang}`").alias("lang")), "h", max_labelled, "lang")
+    # max_labelled rows at most
+    texts = known.select(h.alias("h"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), ["h", "lang"])
+    room = F.greatest(F.length("text") - BLOCK_TRAIN, F.lit(0)) + 1
+    phase = F.pmod("h", F.lit(997)) / 997.0
+    at = lambda j: F.floor((F.lit(float(j)) + phase) / stretches * room).cast("int") + 1
+    parts = texts.select("h", "lang", F.explode(F.array(*(F.substr("text", at(j), F.lit(BLOCK_TRAIN)) for j in range(stretches)))).alias("part")).distinct()
+    got = sorted((r["h"], r["lang"], r["part"]) for r in parts.collect())
+    return train([part.encode() for _, _, part in got], [x for _, x, _ in got], **options) if got else None
 
 
 def identify(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:

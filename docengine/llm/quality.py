@@ -179,7 +179,7 @@ def learn(rows: list[tuple], bad: list[bool], min_precision: float = 0.9, max_ru
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", max_labelled: int = 20_000, **options) -> list[tuple[Test, ...]]:
     """The decision list for ``labels`` (1 good, 0 bad; the worst of repeated labels counts)."""
     known = labels.where(F.col(quality).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.min(quality).alias("good"))
-    sample = smallest(known.withColumn("h", F.xxhash64("id")), "h", max_labelled, labels.count(), "id").drop("h")
+    sample = smallest(known.withColumn("h", F.xxhash64("id")), "h", max_labelled, "id").drop("h")
     sample = F.broadcast(sample)  # max_labelled rows at most
     seen = statistics(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(sample, "id"))
     values = [F.col(f"stats.{x}").cast("double") for x in FEATURES]

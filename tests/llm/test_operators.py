@@ -474,3 +474,38 @@ def test_op3_next_text_keeps_nulls_and_columns(spark):
     out = merkle.with_next(spark.createDataFrame(rows, "doc_id long, text string, bucket int, k string"))
     assert out.columns == ["doc_id", "text", "bucket", "k", "next_text"]
     assert {r["doc_id"]: (r["bucket"], r["next_text"]) for r in out.collect()} == {1: (1, None), 2: (2, "z"), 3: (3, "y"), 700: (4, "a")}
+
+
+def test_samples_are_not_starved_by_repeats(spark):
+    """One id on most rows, and labels that repeat, leave the sample whole."""
+    many = spark.range(100_000).select(F.lit(7).alias("doc_id"), F.lit("one text of many copies").alias("text"), F.lit("xx").alias("lang"))
+    few = [(k, f"{word} text number {k} has some words of its own {k * k}", word) for k in range(20) for word in ("the", "der", "les")]
+    net = langid.fit(many.unionByName(spark.createDataFrame(few, "doc_id long, text string, lang string")), max_labelled=50, steps=2)
+    assert set(net.labels) >= {"the", "der", "les"}
+    from docengine.llm.sampling import smallest
+
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("h"), "id")
+    got = smallest(rows.unionByName(rows).unionByName(rows.where("id < 10").withColumn("h", F.lit(-(1 << 63)).cast("long"))), "h", 3000, "id").collect()
+    want = sorted({(r["h"], r["id"]) for r in rows.collect()} | {(-(1 << 63), k) for k in range(10)})[:3000]
+    assert sorted((r["h"], r["id"]) for r in got) == want
+
+
+def test_op5_fast_pass_equals_the_steps(spark):
+    """Probabilities of whole texts, in blocks and lanes, against one step after another."""
+    rng, net = np.random.default_rng(3), langid.untrained(["a", "b", "c"], seed=3)
+    texts = [bytes(rng.integers(1, 255, n, dtype=np.uint8)) for n in (1, 5, 255, 256, 257, 700)] + [b""]
+    got = langid.probabilities(net, texts)
+    for text, row in zip(texts, got, strict=True):
+        total = np.zeros(3)
+        for k in range(0, len(text), langid.BLOCK):
+            block, ways = text[k : k + langid.BLOCK], []
+            for way, order in ((net.ahead, range(len(block))), (net.back, range(len(block) - 1, -1, -1))):
+                h, states = np.zeros((way.u.shape[1], 1), "f4"), {}
+                for t in order:
+                    h, _ = way.step(np.array([block[t]]), h)
+                    states[t] = h
+                ways.append(states)
+            for t in range(len(block)):
+                q = np.exp(net.v @ np.concatenate([ways[0][t], ways[1][t]]) + net.c)[:, 0]
+                total += q / q.sum()
+        assert row == pytest.approx(total / max(len(text), 1), abs=1e-4)
