@@ -1,35 +1,42 @@
 """Main text of web pages by removal of site templates.
 
 A tolerant scanner turns a page into a tree of its block elements. Every subtree gets a
-hash of its tags and texts. Spark counts, for each host, the pages on which a subtree
-stands; a subtree on at least ``share`` of a host's pages (``least`` at a minimum) is part
-of the site's template and is deleted from its pages. A host therefore has no more
-templates than ``1 / share`` times the subtrees of a mean page, so its list is small
-whatever its number of pages. What a page declares to be no article is deleted too:
-navigation, headers, footers, sidebars, adverts, notices, forms, comments, scripts and
-styles, by element, role or class. Where a page marks its article or main element, only
-that is kept, and in it paragraphs, headings and lists' items are never templates:
-articles may quote and copy one another.
+hash of its tags and texts. Spark counts, for each host, the different pages on which a
+subtree stands; a subtree on ``least`` pages or more, and on ``share`` of the host's pages
+(one in a thousand, so that a host's list has at most 1,000 times the subtrees of a mean
+page), is part of the site's template and is deleted from its pages. A page is counted by
+its content: copies count once, and a subtree inside an article counts by the different
+articles that hold it. In an article, paragraphs, headings and what holds them are never
+templates: articles may quote and copy one another.
+
+Counts cannot know the template of a site of one or two pages, nor what differs from page
+to page, as readers' comments do. There, what a page declares is the fallback (``declared``):
+where it marks its article or main element, only that is kept, and navigation, headers,
+footers, sidebars, adverts, notices, forms and comments go by element, role or class.
+Without it, only templates and what is never shown are deleted.
 
 Text: character references decoded, white space inside a block turned into one space,
 blocks joined in page order by one line feed. A null or empty page has an empty text;
-null or odd URLs share one host. Copies count once: a subtree counts by the different
-articles that hold it, or outside articles by the different pages, and a host's pages by
-their content. Inside an article, what holds paragraphs is no template either. Counting
-moves 24 bytes a subtree; pages themselves move only if there are
-more hosts than ``max_broadcast_hosts``.
+null or odd URLs share one host. Equal pages of a host have equal texts, and repeated rows
+stay. An empty table gives an empty result. A column of the output's name is replaced;
+others are kept, whatever their names.
+
+Counting moves 24 bytes a subtree. Templates reach the pages as one broadcast if there are
+``max_broadcast`` hashes or fewer (8 bytes each); else each page's own hashes are
+intersected with its host's list in a join, which Spark may split for a host with most pages.
 """
 
 import html as references
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.shared import broadcast_if, materialize
+from docengine.shared import materialize
 
-SHARE = 0.2
+SHARE = 0.001
 LEAST = 3
 
 # Names of elements, roles and classes of HTML pages.
@@ -41,6 +48,8 @@ DROPPED = frozenset(
     "head title nav footer aside form script style noscript template iframe object svg canvas button select "
     "textarea dialog menu audio video math".split()
 )
+#: Never shown, with or without what a page declares.
+HIDDEN = frozenset("head title script style noscript template iframe object svg canvas audio video".split())
 RAW = frozenset("script style textarea title noscript iframe template svg".split())
 CLOSED_BY = {
     "p": frozenset(
@@ -234,15 +243,15 @@ def subtrees(page: str | None) -> list[tuple]:
     return [(None, root.hash), *sorted(out)]
 
 
-def main_text(page: str | None, templates) -> str:
-    """The text of a page without the given templates."""
+def main_text(page: str | None, templates, declared: bool = True) -> str:
+    """The text of a page without the given templates (anything with ``in``) and, if ``declared``, without what it declares to be no article."""
     if not page:
         return ""
     root = parse(page)
-    known = set(templates or ())
+    known = set(templates or ()) if isinstance(templates, (list, tuple)) else templates
     for node in candidates(root):
         node.template = node.hash in known
-    only_main, stack = False, [root]
+    only_main, stack = False, [root] if declared else []
     while stack and not only_main:
         node = stack.pop()
         only_main = node.main
@@ -253,7 +262,7 @@ def main_text(page: str | None, templates) -> str:
         if isinstance(part, str):
             if inside or not only_main:
                 out.append(part)
-        elif not part.dropped and not part.template:
+        elif not part.template and not (part.dropped if declared else part.tag in HIDDEN):
             stack.extend((p, part.inside) for p in reversed(part.parts))
     return "\n".join(out)
 
@@ -263,30 +272,62 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"(?s)\A.*?://([^/?#]*)", 1), F.lit("")))
 
 
-def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text", share: float = SHARE, least: int = LEAST, max_broadcast_hosts: int = 50_000) -> DataFrame:
-    """``pages`` with the main text in column ``out``."""
+class Sorted:
+    """Membership in a sorted array."""
+
+    def __init__(self, values):
+        self.values = values
+
+    def __contains__(self, x) -> bool:
+        at = self.values.searchsorted(x)
+        return at < len(self.values) and self.values[at] == x
+
+
+def templates_of(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
+    """(host, templates): the hashes of the template of each host that has one, for ``pages`` (host, html)."""
 
     @F.arrow_udf("array<struct<hash:long,content:long>>")
     def found(rows: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("hash", pa.int64()), ("content", pa.int64())]))
         return pa.array([[{"hash": h, "content": c} for h, c in subtrees(x.as_py())] for x in rows], kind)
 
-    @F.arrow_udf("string")
-    def text_of(rows: pa.Array, templates: pa.Array) -> pa.Array:
-        return pa.array([main_text(x.as_py(), t.as_py()) for x, t in zip(rows, templates, strict=True)], pa.string())
-
-    hosts = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
-    counts = hosts.select("host", F.explode(found("html")).alias("s")).select("host", "s.*").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    counts = pages.select("host", F.explode(found("html")).alias("s")).select("host", "s.*").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
     counts = materialize(counts, "subtrees")
     seen = counts.where(F.col("hash").isNotNull() & (F.col("n") >= least))
     sizes = counts.where("hash is null").select("host", F.col("n").alias("pages"))
-    shared = seen.join(sizes, "host").where(F.col("n") >= F.col("pages") * share)
-    # a list has 1 / share times the subtrees of a mean page at most
-    lists = broadcast_if(materialize(shared.groupBy("host").agg(F.collect_list("hash").alias("templates")), "templates"), max_broadcast_hosts)
-    df = pages.select(F.struct("*").alias("row"), host_of(F.col(url)).alias("host")).join(lists, "host", "left")
-    return df.select("row", text_of(F.col("row")[html], F.coalesce("templates", F.array().cast("array<long>"))).alias("made")).select(
-        *(F.col("row")[c].alias(c) for c in pages.columns if c != out), F.col("made").alias(out)
-    )
+    return seen.join(sizes, "host").where(F.col("n") >= F.col("pages") * share).groupBy("host").agg(F.collect_list("hash").alias("templates"))
+
+
+def extract(
+    pages: DataFrame, url: str = "url", html: str = "html", out: str = "text", share: float = SHARE, least: int = LEAST, declared: bool = True, max_broadcast: int = 4_000_000
+) -> DataFrame:
+    """``pages`` with the main text in column ``out``."""
+    hosted = pages.select(F.struct("*").alias("row"), host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html"))
+    lists = materialize(templates_of(hosted.select("host", "html"), share, least), "templates")
+    n = lists.agg(F.sum(F.size("templates") + 8)).first()[0] or 0
+    if n <= max_broadcast:
+        known = pages.sparkSession.sparkContext.broadcast({r["host"]: np.sort(np.array(r["templates"], np.int64)) for r in lists.toLocalIterator()})
+
+        @F.arrow_udf("string")
+        def text_of(rows: pa.Array, hosts: pa.Array) -> pa.Array:
+            none = np.zeros(0, np.int64)
+            return pa.array([main_text(x.as_py(), Sorted(known.value.get(h.as_py(), none)), declared) for x, h in zip(rows, hosts, strict=True)], pa.string())
+
+        df = hosted.select("row", text_of("html", "host").alias("made"))
+    else:
+
+        @F.arrow_udf("array<long>")
+        def hashes(rows: pa.Array) -> pa.Array:
+            return pa.array([sorted({h for h, _ in subtrees(x.as_py()) if h is not None}) for x in rows], pa.list_(pa.int64()))
+
+        @F.arrow_udf("string")
+        def text_by(rows: pa.Array, templates: pa.Array) -> pa.Array:
+            return pa.array([main_text(x.as_py(), t.as_py() or [], declared) for x, t in zip(rows, templates, strict=True)], pa.string())
+
+        # a row takes along only the templates that it holds
+        df = hosted.withColumn("own", hashes("html")).join(lists, "host", "left").select("row", "html", F.array_intersect("own", "templates").alias("own"))
+        df = df.select("row", text_by("html", "own").alias("made"))
+    return df.select(*(F.col("row")[c].alias(c) for c in pages.columns if c != out), F.col("made").alias(out))
 
 
 def op4_html_main_text(spark, sf_dir: str) -> DataFrame:

@@ -509,3 +509,37 @@ def test_op5_fast_pass_equals_the_steps(spark):
                 q = np.exp(net.v @ np.concatenate([ways[0][t], ways[1][t]]) + net.c)[:, 0]
                 total += q / q.sum()
         assert row == pytest.approx(total / max(len(text), 1), abs=1e-4)
+
+
+def site(n, seed=5):
+    """Pages of one host whose menus, adverts and footers are drawn from a few, without any telling names; and their articles."""
+    rng = random.Random(seed)
+    words = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(k))
+    menus = ["<div><ul>" + "".join(f"<li><a href=x>{words(1)}</a>" for _ in range(5)) + "</ul></div>" for _ in range(4)]
+    boxes, ends = [f"<section>{words(6)}</section>" for _ in range(4)], [f"<div>&copy; {words(5)}</div>" for _ in range(4)]
+    pages, articles = [], []
+    for _ in range(n):
+        blocks = [words(12) for _ in range(4)]
+        articles.append("\n".join(blocks))
+        pages.append(f"<body>{rng.choice(menus)}{rng.choice(boxes)}<div>{''.join(f'<p>{b}</p>' for b in blocks)}</div>{rng.choice(ends)}</body>")
+    return pages, articles
+
+
+@pytest.mark.parametrize("most", [4_000_000, 0])
+def test_op4_counts_alone_find_the_article(spark, most):
+    pages, articles = site(60)
+    frame = spark.createDataFrame([(i, "http://h.org/", x) for i, x in enumerate(pages)], "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in html.extract(frame, declared=False, max_broadcast=most).collect()}
+    assert out == dict(enumerate(articles))
+
+
+def test_op4_templates_are_on_the_pages(spark):
+    """On the given pages, with what they declare put aside, counts remove the menu of nearly every page of a large host."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").withColumn("host", html.host_of(F.col("url")))
+    large = pages.groupBy("host").count().orderBy(F.desc("count")).limit(1).select("host")
+    out = html.extract(pages.join(large, "host"), declared=False).select("html", "text").collect()
+    held = 0
+    for r in out:
+        menu = [re.sub("<[^>]*>", "", x) for x in re.findall("<li>.*?</li>", r["html"].split("<article>")[0])]
+        held += all(x not in r["text"].split("\n") for x in menu)
+    assert held > 0.9 * len(out)
