@@ -543,3 +543,55 @@ def test_op4_templates_are_on_the_pages(spark):
         menu = [re.sub("<[^>]*>", "", x) for x in re.findall("<li>.*?</li>", r["html"].split("<article>")[0])]
         held += all(x not in r["text"].split("\n") for x in menu)
     assert held > 0.9 * len(out)
+
+
+def test_op9_names_whole_licence_texts(spark):
+    """Texts as they stand in files, wrapped in lines and with holders' names; titles by version; a notice spread over comment lines."""
+    import textwrap
+
+    wrap = lambda name, k: "\n".join(textwrap.wrap(licenses.TEMPLATES[name][k], 70))
+    full = {name: "Copyright 2021 Some Holder and others. All rights reserved.\n\n" + wrap(name, -1) for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause")}
+    full["ISC"] = "Copyright 2021 Some Holder\n\n" + wrap("ISC", 2)
+    files = [(f"{name}/LICENSE", text) for name, text in full.items()] + [(f"{name}/src/a.c", "int") for name in full]
+    gpl = {2: "GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991\n\nCopyright (C) someone", 3: "  GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\nCopyright (C) someone"}
+    files += [(f"gpl{v}/COPYING", text) for v, text in gpl.items()]
+    notice = "\n".join("# " + x for x in textwrap.wrap(licenses.TEMPLATES["GPL-3.0"][4], 60))
+    files += [("n/a.py", "#!/usr/bin/python\n#\n" + notice + "\n#\nimport os\n"), ("r/a.txt", "Copyright 2020. All rights reserved. Proprietary and confidential.")]
+    out = {r["path"]: (r["license"], r["origin"]) for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    for name in full:
+        assert out[f"{name}/LICENSE"] == (name, "file") and out[f"{name}/src/a.c"] == (name, "inherited")
+    assert [out[f"gpl{v}/COPYING"][0] for v in (2, 3)] == ["GPL-2.0", "GPL-3.0"] and out["n/a.py"] == ("GPL-3.0", "header") and out["r/a.txt"][0] == "Proprietary"
+
+
+def test_op9_gate_loses_no_unit(spark):
+    """Random mixtures of templates' terms: what reaches the bar matches the pattern."""
+    rows, idf, other = licenses.weights()
+    vectors = defaultdict(dict)
+    for _, key, term, share in rows:
+        vectors[key][term] = share
+    pattern, rng = re.compile(licenses.keys()), random.Random(2)
+    for _ in range(3000):
+        own = sorted(rng.choice(list(vectors.values())))
+        unit = rng.sample(own, rng.randrange(1, len(own) + 1)) + [f"w{k}" for k in range(rng.randrange(3))]
+        w = {t: idf.get(t, other) for t in unit}
+        best = max(sum(w.get(t, 0) * s for t, s in v.items()) for v in vectors.values()) / math.sqrt(sum(v * v for v in w.values()))
+        assert best < licenses.LEAST or pattern.search(" ".join(unit))
+
+
+def test_op9_query_and_null_columns(spark, sf, tmp_path):
+    import duckdb
+
+    out = licenses.op9_license_scan(spark, sf).collect()
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+        cursor = db.execute(licenses.OP9_SQL)
+        names = [c[0] for c in cursor.description]
+        want = [dict(zip(names, r, strict=True)) for r in cursor.fetchall()]
+    key = lambda r: (r["doc_id"], r["path"], r["license"], round(r["score"], 5), r["origin"], r["license_path"])
+    assert sorted(map(str, map(key, out))) == sorted(map(str, map(key, want)))
+    rows = [(None, "a", "Released under the MIT License"), (None, None, None), (3, None, "Licensed under the ISC License")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["license"]) for r in licenses.op9_license_scan(spark, str(tmp_path)).collect()}
+    assert got == {(None, "MIT"), (None, None), (3, "ISC")}
+    alone = licenses.scan(spark.createDataFrame([(None, "Released under the MIT License"), (None, "x")], "path string, text string")).collect()
+    assert {r["license"] for r in alone} == {"MIT", None}
