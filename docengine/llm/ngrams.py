@@ -76,4 +76,41 @@ def score(docs: DataFrame, row: str = "doc_id", text: str = "text", order: int =
 
 def op10_lm_score(spark, sf_dir: str) -> DataFrame:
     out = score(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return out.withColumnRenamed("row", "doc_id")
+    rounded = (F.round(c, 6).alias(c) for c in ("log_prob", "mean_log_prob"))
+    return out.select(F.col("row").alias("doc_id"), "n_words", *rounded, F.round("perplexity", 2).alias("perplexity"))
+
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), p AS (
+  SELECT uid, unnest(w) AS w1, generate_subscripts(w, 1) AS pos FROM d
+), q AS (
+  SELECT *, lag(w1) OVER o || ' ' || w1 AS w2, lag(w1, 2) OVER o || ' ' || lag(w1) OVER o || ' ' || w1 AS w3 FROM p WINDOW o AS (PARTITION BY uid ORDER BY pos)
+), c AS (
+  -- counts less the document's own
+  SELECT uid, pos, w2, w3,
+         count(*) OVER (PARTITION BY w1) - count(*) OVER (PARTITION BY uid, w1) AS n1,
+         count(*) OVER (PARTITION BY w2) - count(*) OVER (PARTITION BY uid, w2) AS n2,
+         count(*) OVER (PARTITION BY w3) - count(*) OVER (PARTITION BY uid, w3) AS n3
+  FROM q
+), x AS (
+  SELECT *, lag(n1) OVER o AS c2, lag(n2) OVER o AS c3 FROM c WINDOW o AS (PARTITION BY uid ORDER BY pos)
+), t AS (
+  SELECT sum(len(w)) AS words FROM d
+), s AS (
+  SELECT uid,
+         sum(CASE WHEN w3 IS NOT NULL AND n3 > 0 THEN ln(n3 / c3)
+                  ELSE (CASE WHEN w3 IS NOT NULL THEN ln(0.4) ELSE 0 END)
+                     + CASE WHEN w2 IS NOT NULL AND n2 > 0 THEN ln(n2 / c2)
+                            ELSE (CASE WHEN w2 IS NOT NULL THEN ln(0.4) ELSE 0 END) + ln(CASE WHEN n1 > 0 THEN n1 ELSE 0.4 END) END END) AS best,
+         sum(CASE WHEN w3 IS NOT NULL AND n3 > 0 OR w2 IS NOT NULL AND n2 > 0 THEN 0 ELSE 1 END) AS ends
+  FROM x GROUP BY uid
+), r AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(best - ends * ln(greatest((SELECT words FROM t) - len(w), 1)), 0.0) AS log_prob
+  FROM d LEFT JOIN s USING (uid)
+)
+SELECT doc_id, n_words, round(log_prob, 6) AS log_prob, round(CASE WHEN n_words > 0 THEN log_prob / n_words ELSE 0.0 END, 6) AS mean_log_prob,
+       round(exp(-CASE WHEN n_words > 0 THEN log_prob / n_words ELSE 0.0 END), 2) AS perplexity
+FROM r
+"""

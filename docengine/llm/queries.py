@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": urls.OP2_SQL, "op7_mix_sources": mixing.OP7_SQL, "op9_license_scan": licenses.OP9_SQL}
+    return {"op2_url_filter": urls.OP2_SQL, "op7_mix_sources": mixing.OP7_SQL, "op9_license_scan": licenses.OP9_SQL, "op10_lm_score": ngrams.OP10_SQL}
