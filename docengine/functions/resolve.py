@@ -157,8 +157,9 @@ def to_int_column(text: Column) -> Column:
         return F.when(fits, wide.cast("long"))
 
     cut = F.split(body, ":")
-    part = lambda i: F.coalesce(F.get(cut, i).try_cast("long"), F.lit(0))
-    sixty = part(0) * sign * 3600 + part(1) * 60 + part(2)
+    # null where a part or the sum is beyond 64 bits
+    place = lambda i, weight: F.try_multiply(F.when(F.size(cut) > i, F.get(cut, i).try_cast("long")).otherwise(F.lit(0).cast("long")), weight)
+    sixty = F.try_add(F.try_add(place(0, (sign * 3600).cast("long")), place(1, F.lit(60).cast("long"))), place(2, F.lit(1).cast("long")))
     return (
         F.when(body.rlike(r"\A[0-9]+(:[0-9]+){1,2}\z"), sixty)
         .when(body.rlike(r"\A0x[0-9a-fA-F]+\z"), radix(F.substring(body, 3, 100), 16))

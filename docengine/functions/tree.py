@@ -225,7 +225,8 @@ def normal_breaks(text: str) -> str:
     if not re.search("[\x85\u2028\u2029]", text):
         return text
     keep = lambda m: m[0] if m[0][0] in "\"'" else "\n"
-    return re.sub("\"(?:[^\"\\\\]|\\\\.)*\"|'(?:[^']|'')*'|[\x85\u2028\u2029]", keep, text, flags=re.S)
+    # a quote begins a scalar only where one may stand: after a break or space, or after an indicator
+    return re.sub("(?<![^\\s\\[{,:?-])(?:\"(?:[^\"\\\\]|\\\\.)*\"|'(?:[^']|'')*')|[\x85\u2028\u2029]", keep, text, flags=re.S)
 
 
 def load_yaml(data: bytes | str, family: str = "core", max_depth: int = Y.MAX_DEPTH) -> list[Node]:
@@ -237,7 +238,7 @@ def split_stream(text: str) -> list[tuple[int, str]]:
     """(first line, text) of each document of a stream, cut at markers at the start of a line."""
     parts, start, line, began, content = [], 0, 1, 1, False
     pos, in_directives = 0, False
-    for row in text.splitlines(keepends=True):
+    for row in re.findall(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+", text):
         marker = re.match(r"(---|\.\.\.)(?=[ \t\r\n]|\Z)", row)
         if marker and marker[1] == "---" and content and not in_directives:
             parts.append((began, text[start:pos]))

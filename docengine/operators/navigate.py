@@ -24,8 +24,7 @@ def document_count(nodes: DataFrame, by: list[str]) -> DataFrame:
 
 def children(nodes: DataFrame, parent_path: str) -> DataFrame:
     """Direct children of the node at a path, in order."""
-    depth = parent_path.count("/") + 1
-    return nodes.where((F.col("depth") == depth) & F.col("path").startswith(parent_path + "/") & (F.col("role") != "key"))
+    return nodes.where(is_child(parent_path))
 
 
 def subtree(nodes: DataFrame, path: str) -> DataFrame:
@@ -36,23 +35,22 @@ def pointer(nodes: DataFrame, text: str) -> DataFrame:
     """The node at an RFC 6901 pointer, also in its percent-encoded form; of repeated keys the first."""
     from urllib.parse import unquote
 
-    path = unquote(text.removeprefix("#"))
-    return nodes.where((F.col("path") == path) & (F.col("role") != "key"))
+    return nodes.where(is_at(unquote(text.removeprefix("#"))))
 
 
 def map_get(nodes: DataFrame, key: str, doc: list[str] = DOC) -> DataFrame:
     """For each mapping the first value under ``key``."""
     first = Window.partitionBy(*doc, "parent_id").orderBy("ord")
-    return nodes.where((F.col("role") == "value") & (F.col("key") == key)).withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    return nodes.where(is_value_of(key)).withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
 
 
 def map_at(nodes: DataFrame, i: int) -> DataFrame:
     """Key and value rows of pair ``i`` of each mapping."""
-    return nodes.where(F.col("role").isin("key", "value") & F.col("ord").isin(2 * i, 2 * i + 1))
+    return nodes.where(is_pair(i))
 
 
 def seq_at(nodes: DataFrame, i: int) -> DataFrame:
-    return nodes.where((F.col("role") == "item") & (F.col("ord") == i))
+    return nodes.where(is_item(i))
 
 
 def counts(nodes: DataFrame, doc: list[str] = DOC) -> DataFrame:
@@ -83,34 +81,104 @@ def resolve_aliases(nodes: DataFrame, doc: list[str] = DOC) -> DataFrame:
     return aliases.join(real, [*doc, "target_id"], "left")
 
 
+def equal_text(tag_id: Column, text: Column) -> Column:
+    """A text that is equal for equal scalars: numbers by value (1 and 1.0), as 64-bit integers where they are such; all else by tag and text."""
+    as_long, as_double = R.to_int_column(text), R.to_float_column(text)
+    # a double that is an integer of 64 bits has its spelling
+    whole = (as_double == F.floor(as_double)) & (F.abs(as_double) < 2.0**63)
+    number = F.coalesce(as_long.cast("string"), F.when(whole, as_double.cast("decimal(38,0)").cast("string")), as_double.cast("string"), text)
+    return F.when(tag_id.isin(R.INT, R.FLOAT), F.concat(F.lit("n"), number)).otherwise(F.concat(F.lit("s"), tag_id.cast("string"), F.lit(":"), text))
+
+
+def node_hashes(nodes: DataFrame, doc: list[str] = DOC, of: DataFrame | None = None) -> DataFrame:
+    """(doc, node_id, hash): equal for equal subtrees, whatever the order of mappings' pairs.
+
+    ``of`` (doc, node_id) names the nodes that are wanted, all by default. Each node goes to its
+    ancestors by its path, so a subtree of n nodes at depth d moves n rows for each wanted ancestor,
+    in one grouping; a hash is over the sorted places, kinds and scalars below it. Aliases count by name.
+    """
+    tops = nodes if of is None else nodes.join(of, [*doc, "node_id"], "left_semi")
+    tops = tops.select(*doc, F.col("node_id").alias("top"), F.col("path").alias("top_path"), F.col("role").alias("top_role"))
+    steps = F.split("path", "/", -1)
+    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))
+    below = nodes.select(*doc, "path", "role", "kind", "tag_id", "text", F.explode(above).alias("top_path"))
+    # a key has the path of its value, and does not belong to it, nor what is in a key that is a collection
+    found = below.join(tops, [*doc, "top_path"]).where((F.col("path") != F.col("top_path")) | (F.col("role") == F.col("top_role")))
+    place = F.substr("path", F.length("top_path") + 1)
+    inner = F.when(F.col("path") == F.col("top_path"), "").otherwise(F.col("role"))
+    entry = F.concat_ws("\x01", place, inner, "kind", F.when(F.col("kind") == "scalar", equal_text(F.col("tag_id"), F.col("text"))).otherwise(F.coalesce("text", F.lit(""))))
+    return found.groupBy(*doc, F.col("top").alias("node_id")).agg(F.xxhash64(F.array_join(F.sort_array(F.collect_list(entry)), "\x02")).alias("hash"))
+
+
 def duplicate_keys(nodes: DataFrame, doc: list[str] = DOC) -> DataFrame:
-    """A row for each scalar key that an equal key of its mapping precedes; 1 and 1.0 are equal."""
-    number = F.coalesce(R.to_float_column(F.col("text")).cast("string"), F.col("text"))
-    same = F.when(F.col("tag_id").isin(R.INT, R.FLOAT), F.concat(F.lit("n"), number)).when(F.col("tag_id") == R.NULL, "0").otherwise(F.concat(F.lit("s"), F.col("text")))
+    """A row for each key that an equal key of its mapping precedes: scalars by ``equal_text``, collections by ``node_hashes``."""
     order = Window.partitionBy(*doc, "parent_id", "__same").orderBy("ord")
-    keys = nodes.where("role = 'key' and kind = 'scalar'").withColumn("__same", same)
-    return keys.withColumn("__n", F.row_number().over(order)).where("__n > 1").drop("__n", "__same")
+    keys = nodes.where("role = 'key'")
+    scalars = keys.where("kind <> 'seq' and kind <> 'map'").withColumn("__same", equal_text(F.col("tag_id"), F.coalesce("text", F.lit(""))))
+    complex_ = keys.where("kind = 'seq' or kind = 'map'")
+    # what stands in a key has its path; the row of the key itself is told from the value's by its role
+    named = node_hashes(nodes, doc, complex_.select(*doc, "node_id")).withColumn("__same", F.concat(F.lit("c"), F.col("hash").cast("string"))).drop("hash")
+    both = scalars.unionByName(complex_.join(named, [*doc, "node_id"]).select(*scalars.columns))
+    return both.withColumn("__n", F.row_number().over(order)).where("__n > 1").drop("__n", "__same")
 
 
-def tag_mismatches(nodes: DataFrame, family: str = "core") -> DataFrame:
-    """Scalars whose explicit tag contradicts what their text is in the family."""
+def picked(nodes: DataFrame, by: list[str], **found: Column) -> DataFrame:
+    """One row for each group of ``by``, with a column for each of ``found``: its value on the first node where it is not null.
+
+    Several questions about a document are one pass over its nodes and one grouping.
+    """
+    return nodes.groupBy(*by).agg(*(F.min_by(v, F.when(v.isNotNull(), F.col("node_id"))).alias(k) for k, v in found.items()))
+
+
+def is_value_of(key: str) -> Column:
+    """The condition of ``map_get``, without its choice of the first."""
+    return (F.col("role") == "value") & (F.col("key") == key)
+
+
+def is_at(pointer: str) -> Column:
+    return (F.col("path") == pointer) & (F.col("role") != "key")
+
+
+def is_child(parent_path: str) -> Column:
+    depth = parent_path.count("/") + 1
+    return (F.col("depth") == depth) & F.col("path").startswith(parent_path + "/") & (F.col("role") != "key")
+
+
+def is_pair(i: int) -> Column:
+    return F.col("role").isin("key", "value") & F.col("ord").isin(2 * i, 2 * i + 1)
+
+
+def is_item(i: int) -> Column:
+    return (F.col("role") == "item") & (F.col("ord") == i)
+
+
+def is_tag_mismatch(family: str = "core") -> Column:
     found = R.resolve_column(F.col("text"), family)
     fits = (found == F.col("tag_id")) | ((F.col("tag_id") == R.FLOAT) & (found == R.INT))
-    return nodes.where((F.col("kind") == "scalar") & F.col("tag").isNotNull() & F.col("tag_id").between(R.INT, R.NULL) & ~fits)
+    return (F.col("kind") == "scalar") & F.col("tag").isNotNull() & F.col("tag_id").between(R.INT, R.NULL) & ~fits
 
 
-def not_json(nodes: DataFrame) -> DataFrame:
-    """Nodes that JSON has not: keys that are no strings, and tags or plain texts without a JSON type."""
+def tag_mismatches(nodes: DataFrame, family: str = "core") -> DataFrame:
+    """Scalars whose explicit tag contradicts what their text is in the family."""
+    return nodes.where(is_tag_mismatch(family))
+
+
+def json_code() -> Column:
+    """2 for a key that is no string, 3 for a tag or plain text without a JSON type, else null."""
     odd_key = (F.col("role") == "key") & ((F.col("kind") != "scalar") | (F.col("tag_id") != R.STR))
     odd_tag = F.col("tag_id").isin(R.TIMESTAMP, R.BINARY, R.MERGE, R.VALUE, R.CUSTOM)
     bare = (F.col("style") == 1) & F.col("tag").isNull() & (F.col("tag_id") == R.STR)
-    code = F.when(odd_key, 2).when((F.col("role") != "key") & (F.col("kind") == "scalar") & (odd_tag | bare), 3)
-    return nodes.withColumn("code", code).where("code is not null")
+    return F.when(odd_key, 2).when((F.col("role") != "key") & (F.col("kind") == "scalar") & (odd_tag | bare), 3)
+
+
+def not_json(nodes: DataFrame) -> DataFrame:
+    """Nodes that JSON has not, with their ``json_code``."""
+    return nodes.withColumn("code", json_code()).where("code is not null")
 
 
 def text_statistics(text: Column) -> Column:
     """Counts of character classes of a text, as struct."""
-    n = lambda keep: F.length(F.regexp_replace(text, f"[^{keep}]", "")).cast("long")
+    n = lambda keep: F.length(F.regexp_replace(text, f"[^{keep}]+", "")).cast("long")
     return F.struct(
         F.octet_length(text).cast("long").alias("bytes"), F.length(text).cast("long").alias("chars"), n("\\n").alias("breaks"), n("\\t").alias("tabs"),
         n(" ").alias("spaces"), n("0-9").alias("digits"), n("\"'").alias("quotes"), n("\\\\").alias("escapes"), n("{}\\[\\],:").alias("marks"),

@@ -31,10 +31,11 @@ DIAGNOSTICS = "seq int, code int, name string, path string, detail string, line
 BATCH = 4096
 
 
-def spread(df: DataFrame, least: int = 1 << 18, split: int = 128 << 20) -> DataFrame:
-    """``df`` over all cores if it is so small that its files make fewer splits than there are cores.
+def spread(df: DataFrame, least: int = 1 << 18, split: int = 8 << 20) -> DataFrame:
+    """``df`` over all cores if its files make fewer splits than there are cores; for callers that know their input to be small.
 
-    Parsing costs far more than moving a small input. An input of ``split`` bytes or more for each core stays where it is read.
+    Parsing costs far more than moving a small input. An input of ``split`` bytes or more for each core, as Spark
+    estimates it, stays where it is read. No operator calls this by itself.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -52,7 +53,7 @@ def expand(df: DataFrame, column: str, make: Callable[[object], Iterator[dict]],
     clash = [c for c in keep if c in made.names]
     if clash:
         raise ValueError(f"columns {clash} are also made here; rename them first")
-    source = spread(df.select(*(f"`{c}`" for c in keep), df[column].alias("__source")))
+    source = df.select(*(f"`{c}`" for c in keep), df[column].alias("__source"))
     out = T.StructType([df.schema[c] for c in keep] + made.fields)
     names = made.names
 

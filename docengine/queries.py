@@ -171,18 +171,31 @@ def resolve_compat(spark, sf_dir):
 
 
 @query(
-    f"WITH {PART_TEXTS} SELECT shape::INTEGER AS shape, sum(CASE shape WHEN 0 THEN p_size WHEN 1 THEN p_size WHEN 2 THEN p_size WHEN 7 THEN p_size * 3600 + 1800 END)::BIGINT AS total "
-    "FROM texts WHERE shape IN (0, 1, 2, 7) GROUP BY shape"
+    f"WITH {PART_TEXTS} SELECT shape::INTEGER AS shape, sum(CASE WHEN shape IN (0, 1, 2) THEN p_size WHEN shape = 5 THEN CASE p_size WHEN 1 THEN 3 WHEN 10 THEN 6 WHEN 11 THEN 7 END "
+    "WHEN shape = 7 THEN p_size * 3600 + 1800 WHEN shape = 10 THEN ('1' || p_size)::BIGINT WHEN shape = 11 AND p_size // 10 < 8 AND p_size % 10 < 8 THEN p_size // 10 * 8 + p_size % 10 END)::BIGINT AS total, "
+    "count(*) AS n FROM texts GROUP BY shape"
 )
 def convert_ints(spark, sf_dir):
-    t = part_texts(spark, sf_dir).where(F.col("shape").isin(0, 1, 2, 7))
-    return t.groupBy("shape").agg(F.sum(R.to_int_column(F.col("text"))).alias("total"))
+    """Texts of every shape as 64-bit integers; those that are none are null."""
+    return part_texts(spark, sf_dir).groupBy("shape").agg(F.sum(R.to_int_column(F.col("text"))).alias("total"), count())
 
 
-@query(f"WITH {PART_TEXTS} SELECT shape::INTEGER AS shape, round(sum(CASE shape WHEN 3 THEN p_size + 0.5 ELSE p_size * 100 END), 3)::DOUBLE AS total FROM texts WHERE shape IN (3, 4) GROUP BY shape")
+@query(
+    f"WITH {PART_TEXTS} SELECT shape::INTEGER AS shape, round(sum(CASE WHEN shape IN (0, 1, 2, 11) THEN p_size WHEN shape = 3 THEN p_size + 0.5 WHEN shape = 4 THEN p_size * 100 "
+    "WHEN shape = 5 THEN CASE p_size WHEN 1 THEN 3 WHEN 10 THEN 6 WHEN 11 THEN 7 END WHEN shape = 7 THEN p_size * 3600 + 1800 WHEN shape = 10 THEN ('1' || p_size)::BIGINT "
+    "WHEN shape = 12 THEN ('0.' || p_size)::DOUBLE END), 3)::DOUBLE AS total, count(*) AS n FROM texts GROUP BY shape"
+)
 def convert_floats(spark, sf_dir):
-    t = part_texts(spark, sf_dir).where(F.col("shape").isin(3, 4))
-    return t.groupBy("shape").agg(F.round(F.sum(R.to_float_column(F.col("text"))), 3).alias("total"))
+    t = part_texts(spark, sf_dir)
+    return t.groupBy("shape").agg(F.round(F.sum(R.to_float_column(F.col("text"))), 3).alias("total"), count())
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN NULL ELSE p_size * 3600 + 60 * p_size + 30 END::BIGINT AS seconds FROM part")
+def convert_sixties(spark, sf_dir):
+    """Hours, minutes and seconds; what is beyond 64 bits is null and ends no job."""
+    size = F.col("p_size")
+    t = F.when(size % 2 == 0, text("92233720368547758", size % 10, ":30")).otherwise(text(size, ":", size, ":30"))
+    return table(spark, sf_dir, "part").select("p_partkey", R.to_int_column(t).alias("seconds"))
 
 
 @query("SELECT year(o_orderdate)::INTEGER AS y, count(*) AS n, min(o_orderdate) AS first FROM orders GROUP BY 1")
@@ -255,28 +268,32 @@ def alias_merge_join(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_orderstatus AS status, o_custkey AS cust FROM orders")
 def navigate_keys(spark, sf_dir):
+    """Two questions about each document in one pass over its nodes."""
     n = tables.nodes(order_yaml(spark, sf_dir), "doc")
-    doc = ["o_orderkey", "doc_index"]
-    status = nav.map_get(n, "status", doc).select("o_orderkey", F.col("text").alias("status"))
-    cust = nav.pointer(n, "/cust").select("o_orderkey", nav.as_int().alias("cust"))
-    return status.join(cust, "o_orderkey")
+    return nav.picked(n, ["o_orderkey"], status=F.when(nav.is_value_of("status"), F.col("text")), cust=F.when(nav.is_at("/cust"), nav.as_int()))
 
 
 @query("SELECT o_orderkey, o_orderstatus AS item, 2::BIGINT AS items FROM orders")
 def navigate_items(spark, sf_dir):
-    n = tables.nodes(order_yaml(spark, sf_dir), "doc")
-    doc = ["o_orderkey", "doc_index"]
-    item = nav.seq_at(nav.subtree(n, "/tags"), 1).select("o_orderkey", F.col("text").alias("item"))
-    sizes = nav.counts(nav.subtree(n, "/tags"), doc).where("n = 2").select("o_orderkey", F.col("n").alias("items"))
-    return item.join(sizes, "o_orderkey")
+    n = nav.subtree(tables.nodes(order_yaml(spark, sf_dir), "doc"), "/tags")
+    second = F.min_by("text", F.when(nav.is_item(1), F.col("node_id"))).alias("item")
+    return n.groupBy("o_orderkey").agg(second, F.count_if(F.col("role") == "item").alias("items"))
 
 
 @query("SELECT count(*) AS documents, 5 * count(*) AS children, 2 * count(*) AS pairs FROM orders")
 def navigate_counts(spark, sf_dir):
     n = tables.nodes(order_yaml(spark, sf_dir), "doc")
-    a = nav.roots(n).agg(F.count(F.lit(1)).alias("documents"))
-    b = nav.children(n, "").agg(F.count(F.lit(1)).alias("children"))
-    return a.crossJoin(b).crossJoin(nav.map_at(n, 0).agg(F.count(F.lit(1)).alias("pairs")))
+    return n.agg(F.count_if(F.col("role") == "root").alias("documents"), F.count_if(nav.is_child("")).alias("children"), F.count_if(nav.is_pair(0)).alias("pairs"))
+
+
+@query("SELECT o_orderkey, o_orderpriority AS prio, 4::BIGINT AS below FROM orders WHERE o_orderkey % 2 = 0")
+def navigate_by_filters(spark, sf_dir):
+    """The operators as filters and windows: first value of a key, nodes at a pointer, subtree, pair, counts of containers."""
+    n = tables.nodes(order_yaml(spark, sf_dir).where("o_orderkey % 2 = 0"), "doc")
+    doc = ["o_orderkey", "doc_index"]
+    prio = nav.map_get(nav.children(n, ""), "prio", doc).select("o_orderkey", F.col("text").alias("prio"))
+    below = nav.subtree(n, "/tags").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("below"))
+    return prio.join(below, "o_orderkey")
 
 
 @query("SELECT event_id, coalesce(json_extract_string(props, '$.k')::BIGINT, 0) AS k, 0::BIGINT AS missing, '' AS nothing FROM events")
@@ -334,10 +351,34 @@ def duplicate_keys_set(spark, sf_dir):
 def family_rules(spark, sf_dir):
     c = F.col
     body = text("tagged: !!int ", F.when(c("p_size") % 2 == 1, "x").otherwise(c("p_size").cast("string")), "\nplain: word\n'quoted': 'word'\n")
-    n = tables.nodes(table(spark, sf_dir, "part").select(body.alias("doc")), "doc")
-    a = nav.tag_mismatches(n).agg(F.lit("TAG_MISMATCH").alias("rule"), count())
-    b = nav.not_json(n).where("code = 3").agg(F.lit("NON_JSON_TYPE").alias("rule"), count())
-    return a.unionByName(b)
+    n = tables.nodes(tables.spread(table(spark, sf_dir, "part").select(body.alias("doc"))), "doc")
+    rules = F.array(F.when(nav.is_tag_mismatch(), "TAG_MISMATCH"), F.when(nav.json_code() == 3, "NON_JSON_TYPE"))
+    return n.select(F.explode(rules).alias("rule")).where("rule is not null").groupBy("rule").agg(count())
+
+
+@query("SELECT p_partkey, 3 + CASE WHEN p_size IN (1, 16) THEN 2 ELSE 1 END::BIGINT AS n FROM part")
+def duplicate_keys_mixed(spark, sf_dir):
+    """Keys of several tags, beyond the integers of doubles, and collections: 1 and 1.0 are equal, true and 'true', ~ and null are not."""
+    size = F.col("p_size")
+    body = text(
+        "1: a\n1.0: b\n'1': c\ntrue: d\n'true': e\n9007199254740993: f\n9007199254740992: g\n? [1, {x: 1, y: 2}]\n: h\n? [1.0, {y: 2, x: 1}]\n: i\n"
+        "~: j\nnull: k\n0x10: l\n16: m\n", size, "e0: n\n", size, ".0: o\n",
+    )
+    n = tables.nodes(tables.spread(table(spark, sf_dir, "part").select("p_partkey", body.alias("doc"))), "doc")
+    return nav.duplicate_keys(n, ["p_partkey", "doc_index"]).groupBy("p_partkey").agg(count())
+
+
+@query("SELECT p_size, count(*) AS n, 1::BIGINT AS kinds FROM part GROUP BY p_size")
+def node_hashes(spark, sf_dir):
+    """Documents that say the same in another order and spelling have one hash, others have others."""
+    size, odd = F.col("p_size"), F.col("p_partkey") % 2 == 1
+    body = F.when(odd, text("{a: [", size, ", x], b: {c: 1, d: '2'}}")).otherwise(text("b:\n  d: '2'\n  c: 1.0\na:\n- ", size, ".0\n- x\n"))
+    n = tables.nodes(tables.spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", body.alias("doc"))), "doc")
+    doc = ["p_partkey", "doc_index"]
+    hashes = nav.node_hashes(n, doc, nav.roots(n).select(*doc, "node_id"))
+    sizes = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    # of one hash all documents have one size, and of one size all have one hash
+    return hashes.join(sizes, "p_partkey").groupBy("p_size").agg(count(), F.count_distinct("hash").alias("kinds"))
 
 
 @query("SELECT r_regionkey AS region, 5::INTEGER AS code FROM region WHERE r_regionkey > 1")
@@ -438,11 +479,13 @@ def conversations_as_documents(spark, sf_dir):
 
 @query(
     "SELECT doc_id, strlen(text)::BIGINT AS bytes, length(text)::BIGINT AS chars, (length(text) - length(replace(text, chr(10), '')))::BIGINT AS breaks, "
-    "length(regexp_replace(text, '[^0-9]', '', 'g'))::BIGINT AS digits FROM documents"
+    "(length(text) - length(replace(text, chr(9), '')))::BIGINT AS tabs, (length(text) - length(replace(text, ' ', '')))::BIGINT AS spaces, "
+    "length(regexp_replace(text, '[^0-9]+', '', 'g'))::BIGINT AS digits, length(regexp_replace(text, '[^\"'']+', '', 'g'))::BIGINT AS quotes, "
+    "(length(text) - length(replace(text, chr(92), '')))::BIGINT AS escapes, length(regexp_replace(text, '[^{}\\[\\],:]+', '', 'g'))::BIGINT AS marks FROM documents"
 )
 def text_class_counts(spark, sf_dir):
     s = nav.text_statistics(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", s.alias("s")).select("doc_id", "s.bytes", "s.chars", "s.breaks", "s.digits")
+    return table(spark, sf_dir, "documents").select("doc_id", s.alias("s")).select("doc_id", "s.*")
 
 
 # streaming
@@ -462,14 +505,13 @@ def chunked_feed(spark, sf_dir):
     chunks = streams.select("source", F.size(cut).alias("of"), F.posexplode(cut).alias("chunk_no", "chunk")).select("source", "chunk_no", "chunk", (c("chunk_no") == c("of") - 1).alias("final"))
     folder = f"{work_folder(spark)}/docengine/feed-{uuid.uuid4().hex}"
     chunks.write.parquet(f"{folder}/in")
-    name = f"feed_{uuid.uuid4().hex}"
     source = spark.readStream.schema(chunks.schema).parquet(f"{folder}/in")
-    run = feed_stream(source).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{folder}/state").outputMode("append").start()
+    run = feed_stream(source).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").start()
     try:
         run.processAllAvailable()
     finally:
         run.stop()
-    return spark.table(name).select("source", "doc_index", "text")
+    return spark.read.parquet(f"{folder}/out").select("source", "doc_index", "text")
 
 
 # relational work on extracted rows

@@ -21,15 +21,22 @@ from docengine.functions import yamlparse as Y
 from docengine.functions.cbor import CborError, decode_prefix
 from docengine.operators.tables import DOCUMENTS
 
+#: Documents in one frame that goes back to Spark.
+MOST = 4096
 MARKER = re.compile(r"^(?:---|\.\.\.)(?=[ \t\r\n])", re.M)
 
 
-def complete(text: str) -> int:
-    """How much of a text is whole documents, whatever follows: up to the last marker that begins a document or ends one."""
+def complete(text: str, fresh: int = 0) -> int:
+    """How much of a text is whole documents, whatever follows: up to the last marker that begins a document or ends one.
+
+    The first ``fresh`` characters are known to hold no such marker after a whole line, so only the rest is searched.
+    """
     # the last line may go on, so only whole lines count
     end = text.rfind("\n") + 1
     best = 0
-    for m in MARKER.finditer(text, 0, end):
+    # the line that the rest goes on with
+    start = text.rfind("\n", 0, fresh) + 1 if fresh else 0
+    for m in MARKER.finditer(text, start, end):
         if m[0] == "---":
             best = m.start()
         else:
@@ -37,7 +44,8 @@ def complete(text: str) -> int:
             best = line if 0 < line <= end else best
     # directives belong to the document after them
     head = text[:best]
-    lines = head.splitlines(keepends=True)
+    lines = head.split("\n")
+    lines = [x + "\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
     while lines and lines[-1].startswith("%") and text[best:].startswith("---"):
         best -= len(lines.pop())
     return best
@@ -46,7 +54,7 @@ def complete(text: str) -> int:
 def feed(rest: str, chunk: str, index: int, line: int, final: bool = False) -> tuple[list[dict], str, int, int]:
     """(documents, rest, index, line) after a chunk."""
     text = rest + chunk
-    cut = len(text) if final else complete(text)
+    cut = len(text) if final else complete(text, len(rest))
     out = []
     if text[:cut].strip():
         for _, status, err_line, err_col, message, part, _ in tr.tolerant(text[:cut]):
@@ -78,13 +86,26 @@ def feed_stream(chunks: DataFrame, key: str = "source") -> DataFrame:
         rest, index, line = state.get if state.exists else ("", 0, 0)
         rows = pd.concat(list(frames)).sort_values("chunk_no")
         out: list[dict] = []
+        ended = False
+
+        def frame() -> pd.DataFrame:
+            made = pd.DataFrame(out, columns=["doc_index", "status", "err_line", "err_col", "err_msg", "text"])
+            made.insert(0, key, keys[0])
+            return made.astype({"err_line": "Int64", "err_col": "Int64"})
+
         for chunk, final in zip(rows["chunk"], rows["final"], strict=True):
             found, rest, index, line = feed(rest, chunk or "", index, line, bool(final))
             out += found
-        state.update((rest, index, line))
-        frame = pd.DataFrame(out, columns=["doc_index", "status", "err_line", "err_col", "err_msg", "text"])
-        frame.insert(0, key, keys[0])
-        yield frame.astype({"err_line": "Int64", "err_col": "Int64"})
+            ended = bool(final)
+            if len(out) >= MOST:
+                yield frame()
+                out = []
+        # a stream that has ended leaves no state
+        if ended:
+            state.remove()
+        else:
+            state.update((rest, index, line))
+        yield frame()
 
     return chunks.groupBy(key).applyInPandasWithState(step, f"{key} string, {DOCUMENTS}", "rest string, doc_index long, line long", "append", GroupStateTimeout.NoTimeout)
 
