@@ -29,8 +29,9 @@ blocks of a fingerprint are too short to be keys. Its buckets are therefore the
 their prefixes (see ``marked``), where all such pairs meet. In a bucket SimHashes of 128 bits are
 compared, bit-sliced as above, at a radius of 40: a pair of similarity 0.8 differs in 19.4 bits
 on average, and is over the radius with a chance of about 2 in a million. Pairs within it are checked by
-their sets. First each set meets only two others of its bucket, which makes a group of near copies one
-component; then all pairs of different components meet.
+their sets. First each set meets only two others of its bucket. What buckets still connect by close SimHashes
+is then a group: all pairs of its different components are compared in tasks that hold the sets, first
+by SimHash, then by an exact bound, then by the sets, and only a forest of links leaves a task.
 
 Repeated rows and ties: equal texts are one vertex and come back row by row. An empty table gives an
 empty result. Other columns of the input are not read, so their names cannot clash.
@@ -532,36 +533,123 @@ def close(pairs: DataFrame, sims: DataFrame) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").where(apart <= WIDE_RADIUS).select("a", "b")
 
 
-def near_pairs(rows: DataFrame, split: int = SPLIT) -> DataFrame:
-    """Pairs (a, b) of different roots in a bucket of ``rows`` (key, fp, root, s1, s2) whose SimHashes differ in ``WIDE_RADIUS`` bits or fewer."""
-    names = ["key", "fp", "root", "s1", "s2"]
+def _words_of(s1, s2):
+    import numpy as np
+
+    return np.stack([s1, s2], axis=1).view(np.uint64)
 
-    def pairs(fp, root, found):
-        import numpy as np
 
-        for i, j in found:
-            keep = root[i] != root[j]
-            a, b = fp[i[keep]], fp[j[keep]]
-            if len(a):
-                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+def close_forest(rows: DataFrame, split: int = SPLIT) -> DataFrame:
+    """Links (a, b) that connect, in each bucket of ``rows`` (key, fp, s1, s2), all whose SimHashes differ in ``WIDE_RADIUS`` bits or fewer; a forest for each task."""
 
     def small(batches):
         import numpy as np
 
-        for key, fp, root, s1, s2 in whole_buckets(batches, names):
-            yield from pairs(fp, root, bucket_links(key, np.stack([s1, s2], axis=1).view(np.uint64), WIDE_RADIUS))
+        for key, fp, s1, s2 in whole_buckets(batches, ["key", "fp", "s1", "s2"]):
+            yield _forest_batch(fp.view(np.uint64), bucket_links(key, _words_of(s1, s2), WIDE_RADIUS))
 
     def two_parts(table: pa.Table) -> pa.Table:
         import numpy as np
 
-        part, fp, root, s1, s2 = (table.column(c).to_numpy() for c in ("part", *names[1:]))
-        found = list(pairs(fp, root, _parts(part, np.stack([s1, s2], axis=1).view(np.uint64), WIDE_RADIUS)))
-        return pa.Table.from_batches(found, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        part, fp, s1, s2 = (table.column(c).to_numpy() for c in ("part", "fp", "s1", "s2"))
+        return pa.Table.from_batches([_forest_batch(fp.view(np.uint64), _parts(part, _words_of(s1, s2), WIDE_RADIUS))])
 
     few, many = parted(rows, "fp", split)
     return few.mapInArrow(small, "a long, b long").unionByName(many.groupBy("key", "x", "y").applyInArrow(two_parts, "a long, b long")).distinct()
 
 
+def _bitmaps(sets):
+    """For each set, which of 4096 classes its hashes fall in, as 64 words. Two bitmaps differ in no more bits than their sets in members."""
+    import numpy as np
+
+    out = np.zeros((len(sets), 512), dtype=np.uint8)
+    for k, x in enumerate(sets):
+        lit = np.zeros(4096, dtype=bool)
+        lit[x & 4095] = True
+        out[k] = np.packbits(lit)
+    return out.view(np.uint64)
+
+
+def _verified(fp, root, sets, found, similarity: float) -> pa.RecordBatch:
+    """Of the pairs ``found`` of positions, links (a, b) of a forest over roots: pairs whose ``sets`` have the similarity."""
+    import numpy as np
+
+    _, place = np.unique(root, return_inverse=True)
+    up = list(range(len(place)))
+    sizes, maps = np.array([len(x) for x in sets]), _bitmaps(sets)
+
+    def top(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    a, b = [], []
+    for i, j in found:
+        keep = place[i] != place[j]
+        i, j = i[keep], j[keep]
+        x, y = sizes[i], sizes[j]
+        keep = np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9
+        i, j = i[keep], j[keep]
+        for k in range(0, len(i), 4096):
+            p, q = i[k : k + 4096], j[k : k + 4096]
+            apart = np.bitwise_count(maps[p] ^ maps[q]).sum(axis=1, dtype=np.int64)
+            # members of one set only are (1 - s) / (1 + s) of both sizes at most
+            near = np.nonzero(apart <= (1 - similarity) / (1 + similarity) * (sizes[p] + sizes[q]) + 1e-6)[0]
+            for m in near[np.argsort(apart[near], kind="stable")].tolist():
+                u, v = top(place[p[m]]), top(place[q[m]])
+                if u != v:
+                    both = len(np.intersect1d(sets[p[m]], sets[q[m]], assume_unique=True))
+                    if both >= similarity * (sizes[p[m]] + sizes[q[m]] - both) - 1e-9:
+                        up[max(u, v)] = min(u, v)
+                        a.append(fp[p[m]])
+                        b.append(fp[q[m]])
+    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _lists(column: pa.ChunkedArray) -> list:
+    return [x.values.to_numpy() for x in column]
+
+
+def set_links(rows: DataFrame, similarity: float, split: int = SPLIT) -> DataFrame:
+    """Links (a, b) that connect the different roots in each group of ``rows`` (key, fp, root, s1, s2, hashes) as all pairs would
+    that have the similarity: pairs of close SimHashes, then of close bitmaps, then of similar sets; a forest for each task."""
+
+    def links_of(table: pa.Table, found) -> pa.RecordBatch:
+        fp, root, s1, s2 = (table.column(c).to_numpy() for c in ("fp", "root", "s1", "s2"))
+        return _verified(fp, root, _lists(table.column("hashes")), found(_words_of(s1, s2)), similarity)
+
+    def small(batches):
+        import numpy as np
+
+        held: list = []
+
+        def flush(last: bool):
+            nonlocal held
+            table = pa.Table.from_batches(held)
+            keys = table.column("key").to_numpy()
+            # the last group may go on
+            whole = len(keys) if last else int(np.nonzero(keys != keys[-1])[0][-1]) + 1 if keys[0] != keys[-1] else 0
+            held = table.slice(whole).combine_chunks().to_batches() if whole < len(keys) else []
+            if whole:
+                yield links_of(table.slice(0, whole), lambda sims: bucket_links(keys[:whole], sims, WIDE_RADIUS))
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, SPLIT):
+                held.append(batch.slice(at, SPLIT))
+                if sum(x.nbytes for x in held) > 4 * BATCH or sum(x.num_rows for x in held) > 1 << 16:
+                    yield from flush(False)
+        if held:
+            yield from flush(True)
+
+    def two_parts(table: pa.Table) -> pa.Table:
+        part = table.column("part").to_numpy()
+        return pa.Table.from_batches([links_of(table, lambda sims: _parts(part, sims, WIDE_RADIUS))])
+
+    few, many = parted(rows, "fp", split)
+    return few.mapInArrow(small, "a long, b long").unionByName(many.groupBy("key", "x", "y").applyInArrow(two_parts, "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, split: int = SPLIT) -> DataFrame:
     """(doc_id, fp, component_id, root) for each row of ``docs``, linked at a Jaccard similarity of their shingles
     of ``words`` words; fp is a hash of the set of shingles, component_id the least id of the component, root its least fp.
@@ -577,39 +665,46 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = rows.withColumns({"before": F.lag("fp").over(order), "after": F.lead("fp").over(order), "low": F.first("fp").over(order)})
     buckets = materialize(rows.where("before is not null or after is not null").select("key", "fp", "before", "low"), "buckets")
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` that have the similarity, by their sets."""
-        pairs = materialize(pairs, "pairs")
-        need = materialize(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(firsts.select("fp", "first"), "fp"), "compared")
+    def sets_for(wanted: DataFrame) -> DataFrame:
+        """(fp, hashes), written, for ``wanted`` (fp)."""
+        need = materialize(wanted.distinct().join(firsts.select("fp", "first"), "fp"), "compared")
         few = broadcast_if(need, BROADCAST)
         # where the texts that are needed are few, only these are cut into shingles again
         some = docs if few is need else docs.join(few, docs["doc_id"].eqNullSafe(few["first"]), "left_semi")
         sets = sets_of(some, words).withColumnRenamed("fp", "of").join(few, (F.col("of") == F.col("fp")) & F.col("doc_id").eqNullSafe(F.col("first")))
-        sets = materialize(sets.select("fp", "hashes").dropDuplicates(["fp"]), "sets")
-        out = materialize(similar(pairs, sets, similarity), "similar")
-        release(sets, need, pairs)
+        out = materialize(sets.select("fp", "hashes").dropDuplicates(["fp"]), "sets")
+        release(need)
         return out
 
     pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     # each set with the one before it and with the first: a group of near copies becomes one component
     star = buckets.where("before is not null").select(F.explode(F.array(pair("fp", "before"), pair("fp", "low"))).alias("p")).select("p.*").distinct()
-    star = materialize(star, "star")
-    found = checked(close(star, firsts))
-    # then all pairs of different components
+    star = materialize(close(star, firsts), "star")
+    sets = sets_for(star.select(F.explode(F.array("a", "b")).alias("fp")))
+    found = materialize(similar(star, sets, similarity), "similar")
+    release(star, sets)
+    # sets that could be linked at all: those that SimHashes and shared hashes connect, through buckets of several components
     roots = components(found).withColumnRenamed("v", "fp")
     placed = materialize(buckets.select("key", "fp").join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root")), "placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    rows = materialize(placed.join(mixed, "key", "left_semi").join(firsts.select("fp", "s1", "s2"), "fp").select("key", "fp", "root", "s1", "s2"), "mixed")
-    release(placed, buckets)
-    rest = checked(near_pairs(rows, split).join(star, ["a", "b"], "left_anti"))
+    rows = placed.join(mixed, "key", "left_semi").join(firsts.select("fp", "s1", "s2"), "fp").select("key", "fp", "s1", "s2")
+    forest = materialize(close_forest(rows, split), "forest")
+    groups = materialize(components(forest).select(F.col("v").alias("fp"), F.col("root").alias("key")), "candidates")
+    release(placed, buckets, forest)
+    now = groups.join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    open_ = now.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    rows = materialize(now.join(open_, "key", "left_semi").join(firsts.select("fp", "s1", "s2"), "fp"), "open")
+    sets = sets_for(rows.select("fp"))
+    more = materialize(set_links(rows.join(sets, "fp").select("key", "fp", "root", "s1", "s2", "hashes"), similarity, split), "linked")
+    release(rows, sets, groups)
     # a document whose id stands on several rows connects their sets
     twice = marks.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b")
     shared = marks.select("doc_id", "fp").join(twice.select("doc_id", "a"), "doc_id").select("a", F.col("fp").alias("b")).where("a <> b")
-    roots = components(found.unionByName(rest).unionByName(shared)).withColumnRenamed("v", "fp")
+    roots = components(found.unionByName(more).unionByName(shared)).withColumnRenamed("v", "fp")
     of = firsts.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
     names = materialize(of.join(least, "root").select("fp", "component_id", "root"), "components")
-    release(rows, star, found, rest)
+    release(found, more)
     return marks.select("doc_id", "fp").join(names, "fp").select("doc_id", "fp", "component_id", "root")
 
 
