@@ -10,6 +10,7 @@ from docengine.functions import convert, mutate
 from docengine.functions import resolve as R
 from docengine.operators import navigate as nav
 from docengine.operators import tables
+from docengine.operators.jsonschema import problems
 from docengine.plans import descriptor as desc
 from docengine.plans import plan
 from docengine.shared import work_folder
@@ -392,6 +393,85 @@ def registry_by_tag(spark, sf_dir):
     return tables.expand(docs, "doc", registry.validate, "code int").select("region", "code")
 
 
+# keywords of JSON Schema as expressions
+
+
+def order_variants(spark, sf_dir) -> DataFrame:
+    """Each order as a JSON document, as VARIANT."""
+    c = F.col
+    note = F.when(c("o_orderkey") % 10 == 0, "").otherwise(',"note":"x"')
+    body = text(
+        '{"key":', c("o_orderkey"), ',"mixed":', F.when(c("o_orderkey") % 3 == 0, text('"', c("o_orderkey"), '"')).otherwise(text(c("o_orderkey"), F.when(c("o_orderkey") % 3 == 1, ".0").otherwise(".5"))),
+        ',"status":"', c("o_orderstatus"), '","prio":"', c("o_orderpriority"), '","tags":["', c("o_orderstatus"), '","x","', F.substring("o_orderpriority", 1, 1), '"],"dims":{"a":', c("o_orderkey") % 7, ',"b":', c("o_orderkey") % 5, "}", note, "}",
+    )
+    return table(spark, sf_dir, "orders").select(F.parse_json(body).alias("v"))
+
+
+def _props(**schemas) -> dict:
+    return {"properties": schemas}
+
+
+S_, P_ = "o_orderstatus", "o_orderpriority"
+#: keyword (or variant of it): schema, then (path, SQL condition of a failure) for each place.
+KEYWORDS: dict[str, tuple] = {
+    "type": (_props(mixed={"type": "integer"}), [("/mixed", "o_orderkey % 3 IN (0, 2)")]),
+    "type_list": (_props(mixed={"type": ["number", "null"]}), [("/mixed", "o_orderkey % 3 = 0")]),
+    "enum": (_props(status={"enum": ["O", "F", 1]}), [("/status", f"{S_} NOT IN ('O', 'F')")]),
+    "const": (_props(dims={"const": {"b": 2.0, "a": 3}}), [("/dims", "NOT (o_orderkey % 7 = 3 AND o_orderkey % 5 = 2)")]),
+    "maximum": (_props(key={"maximum": 3000}), [("/key", "o_orderkey > 3000")]),
+    "exclusive_maximum": (_props(key={"exclusiveMaximum": 3000}), [("/key", "o_orderkey >= 3000")]),
+    "minimum": (_props(key={"minimum": 3000}), [("/key", "o_orderkey < 3000")]),
+    "exclusive_minimum": (_props(key={"exclusiveMinimum": 3000}), [("/key", "o_orderkey <= 3000")]),
+    "multiple_of": (_props(mixed={"multipleOf": 0.5}, key={"multipleOf": 3}), [("/key", "o_orderkey % 3 <> 0")]),
+    "max_length": (_props(prio={"maxLength": 6}), [("/prio", f"length({P_}) > 6")]),
+    "min_length": (_props(prio={"minLength": 7}), [("/prio", f"length({P_}) < 7")]),
+    "pattern": (_props(prio={"pattern": "^[12]-"}), [("/prio", f"NOT regexp_matches({P_}, '^[12]-')")]),
+    "items": (_props(tags={"items": {"enum": ["O", "x", "1", "2"]}}), [("/tags/0", f"{S_} <> 'O'"), ("/tags/2", f"{P_}[1] NOT IN ('1', '2')")]),
+    "prefix_items": (_props(tags={"prefixItems": [{"const": "O"}, {"const": "x"}], "items": {"const": "1"}}), [("/tags/0", f"{S_} <> 'O'"), ("/tags/2", f"{P_}[1] <> '1'")]),
+    "contains": (_props(tags={"contains": {"enum": ["F", "3"]}}), [("/tags", f"{S_} <> 'F' AND {P_}[1] <> '3'")]),
+    "contains_counts": (
+        _props(tags={"contains": {"enum": ["F", "3", "x"]}, "minContains": 2, "maxContains": 2}),
+        [("/tags", f"({S_} = 'F')::INT + ({P_}[1] = '3')::INT <> 1")],
+    ),
+    "item_counts": (_props(tags={"maxItems": 2}, dims={"minItems": 9}), [("/tags", "true")]),
+    "unique_items": ({"allOf": [_props(tags={"uniqueItems": True}), {"const": 1}]}, [("", "true")]),
+    "required": ({"required": ["note", "key"]}, [("/note", "o_orderkey % 10 = 0")]),
+    "pattern_properties": (_props(dims={"patternProperties": {"^[ab]$": {"maximum": 3}}}), [("/dims/a", "o_orderkey % 7 > 3"), ("/dims/b", "o_orderkey % 5 > 3")]),
+    "additional_properties": (
+        {"properties": {"key": True, "mixed": True, "dims": {"properties": {"a": True}, "additionalProperties": {"minimum": 1}}}, "patternProperties": {"^[pst]": True}, "additionalProperties": False},
+        [("/note", "o_orderkey % 10 <> 0"), ("/dims/b", "o_orderkey % 5 = 0")],
+    ),
+    "property_names": ({"propertyNames": {"maxLength": 5}, "properties": {"dims": {"propertyNames": {"enum": ["a"]}}}}, [("/status", "true"), ("/dims/b", "true")]),
+    "property_counts": ({"minProperties": 7}, [("", "o_orderkey % 10 = 0")]),
+    "max_properties": ({"maxProperties": 6}, [("", "o_orderkey % 10 <> 0")]),
+    "dependent_required": ({"dependentRequired": {"key": ["note"], "none": ["other"]}}, [("/note", "o_orderkey % 10 = 0")]),
+    "dependent_schemas": ({"dependentSchemas": {"note": _props(key={"maximum": 3000})}}, [("/key", "o_orderkey % 10 <> 0 AND o_orderkey > 3000")]),
+    "all_of": ({"allOf": [_props(key={"minimum": 100}), _props(key={"maximum": 3000})]}, [("/key", "o_orderkey < 100 OR o_orderkey > 3000")]),
+    "any_of": ({"anyOf": [_props(key={"maximum": 100}), _props(status={"const": "O"})]}, [("", f"o_orderkey > 100 AND {S_} <> 'O'")]),
+    "one_of": ({"oneOf": [_props(key={"maximum": 3000}), _props(status={"const": "O"})]}, [("", f"(o_orderkey <= 3000) = ({S_} = 'O')")]),
+    "not": ({"not": _props(status={"const": "O"})}, [("", f"{S_} = 'O'")]),
+    "if_then_else": (
+        {"if": _props(status={"const": "O"}), "then": _props(key={"maximum": 3000}), "else": _props(key={"minimum": 100})},
+        [("/key", f"CASE WHEN {S_} = 'O' THEN o_orderkey > 3000 ELSE o_orderkey < 100 END")],
+    ),
+    "ref": ({"$defs": {"small": {"maximum": 3000}, "again": {"$ref": "#/$defs/small"}}, "properties": {"key": {"$ref": "#/$defs/again"}, "dims": False}}, [("/key", "o_orderkey > 3000"), ("/dims", "true")]),
+}
+
+
+def _keyword_query(name: str, schema: dict, places: list) -> None:
+    def run(spark, sf_dir):
+        found = order_variants(spark, sf_dir).select(F.explode(problems(F.col("v"), schema)).alias("p"))
+        return found.groupBy("p.path").agg(count())
+
+    run.__doc__ = f"Failures of a schema with {name}, by place."
+    run.__name__ = f"keyword_{name}"
+    query(" UNION ALL ".join(f"SELECT '{path}' AS path, count(*) AS n FROM orders WHERE {condition} HAVING count(*) > 0" for path, condition in places))(run)
+
+
+for _name, (_schema, _places) in KEYWORDS.items():
+    _keyword_query(_name, _schema, _places)
+
+
 # emission and conversion
 
 
