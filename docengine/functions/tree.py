@@ -294,8 +294,19 @@ def typed(node: Node) -> tuple[int | None, float | None, bool | None]:
     return None, None, None
 
 
-def node_rows(root: Node):
-    """Rows of the nodes table, in preorder."""
+def node_rows(root: Node) -> list[dict]:
+    """Rows of the nodes table, in preorder; ``last_id`` is that of the last node below."""
+    rows = list(_node_rows(root))
+    for row in rows:
+        row["last_id"] = row["node_id"]
+    for row in reversed(rows):
+        if row["parent_id"] is not None:
+            above = rows[row["parent_id"]]
+            above["last_id"] = max(above["last_id"], row["last_id"])
+    return rows
+
+
+def _node_rows(root: Node):
     ids: dict[int, int] = {}
     stack: list = [(root, None, 0, "root", None, "", 0)]
     later = []

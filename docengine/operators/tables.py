@@ -23,7 +23,7 @@ DOCUMENTS = "doc_index int, status int, err_line int, err_col int, err_msg strin
 EVENTS = DOC + ", seq int, type string, style int, flow boolean, explicit boolean, implicit boolean, tag_id int, value string, anchor string, tag string, line int, col int, end_line int, end_col int"
 VALUES = DOC + ", seq int, kind string, tag_id int, is_key boolean, text string, i long, d double, b boolean"
 NODES = DOC + (
-    ", node_id int, parent_id int, ord int, role string, key string, path string, depth int, kind string, style int, tag_id int, tag string, "
+    ", node_id int, parent_id int, last_id int, ord int, role string, key string, path string, depth int, kind string, style int, tag_id int, tag string, "
     "anchor string, alias_target int, text string, i long, d double, b boolean"
 )
 DIAGNOSTICS = "seq int, code int, name string, path string, detail string, line int, col int"

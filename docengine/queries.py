@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docengine.functions import compat as js
 from docengine.functions import convert, mutate
 from docengine.functions import resolve as R
+from docengine.operators import emission
 from docengine.operators import navigate as nav
 from docengine.operators import tables
 from docengine.operators.jsonschema import problems
@@ -491,6 +492,35 @@ def emit_yaml_fidelity(spark, sf_dir):
     return order_yaml(spark, sf_dir).select("o_orderkey", convert.yaml_serialize("doc").alias("yaml"))
 
 
+@query("SELECT o_orderkey, '{\"key\":' || o_orderkey || ',\"cust\":' || o_custkey || ',\"status\":\"' || o_orderstatus || '\",\"prio\":\"' || o_orderpriority || '\",\"tags\":[\"x\",\"' || o_orderstatus || '\"]}' AS json FROM orders")
+def emit_json_nodes(spark, sf_dir):
+    """JSON text put together from the nodes table."""
+    n = tables.nodes(order_yaml(spark, sf_dir), "doc")
+    return emission.text_of(n, ["o_orderkey", "doc_index"]).select("o_orderkey", F.col("text").alias("json"))
+
+
+@query("SELECT o_orderkey, '---' || chr(10) || '{\"key\": ' || o_orderkey || ', \"cust\": ' || o_custkey || ', \"status\": \"' || o_orderstatus || '\", \"prio\": \"' || o_orderpriority || '\", \"tags\": [\"x\", \"' || o_orderstatus || '\"]}' || chr(10) AS yaml FROM orders")
+def emit_canonical_nodes(spark, sf_dir):
+    n = tables.nodes(order_yaml(spark, sf_dir), "doc")
+    return emission.text_of(n, ["o_orderkey", "doc_index"], ": ", ", ", head="---\n", tail="\n").select("o_orderkey", F.col("text").alias("yaml"))
+
+
+@query("SELECT p_partkey, '{' || chr(10) || '  \"k\": ' || p_size || ',' || chr(10) || '  \"l\": [' || chr(10) || '    1.5,' || chr(10) || '    {},' || chr(10) || '    true,' || chr(10) || '    null' || chr(10) || '  ]' || chr(10) || '}' AS json FROM part")
+def emit_pretty_nodes(spark, sf_dir):
+    docs = tables.spread(table(spark, sf_dir, "part").select("p_partkey", text("{k: ", F.col("p_size"), ", l: [1.5, {}, true, ~]}").alias("doc")))
+    return emission.text_of(tables.nodes(docs, "doc"), ["p_partkey", "doc_index"], ": ", ", ", 2).select("p_partkey", F.col("text").alias("json"))
+
+
+@query("SELECT o_orderkey, '{\"key\":' || o_orderkey || ',\"cust\":7,\"status\":\"' || o_orderstatus || '\",\"tags\":[\"x\",\"' || o_orderstatus || '\",\"new\"],\"extra\":{\"a\":[1,true]}}' AS json FROM orders")
+def mutate_nodes(spark, sf_dir):
+    """The same changes as joins on the path of nodes."""
+    edits = [("/cust", "set", None, "7"), ("/prio", "del", None, None), ("/tags", "add", None, '"new"'), ("", "add", "extra", '{"a":[1,true]}')]
+    edits = spark.createDataFrame(edits, "path string, op string, name string, json string")
+    doc = ["o_orderkey", "doc_index"]
+    n = emission.changed(tables.nodes(order_yaml(spark, sf_dir), "doc"), F.broadcast(edits), doc)  # as many rows as were written above
+    return emission.text_of(n, doc).select("o_orderkey", F.col("text").alias("json"))
+
+
 @query("SELECT n_name AS name, '{' || chr(10) || '  \"k\": ' || n_nationkey || ',' || chr(10) || '  \"l\": [' || chr(10) || '    1' || chr(10) || '  ]' || chr(10) || '}' || chr(10) AS json FROM nation")
 def emit_json_pretty(spark, sf_dir):
     docs = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), text("{k: ", F.col("n_nationkey"), ", l: [1]}").alias("doc"))
