@@ -137,11 +137,10 @@ class Generator:
 
 
 def error_text(source: str, line: int, col: int, message: str) -> str:
-    """A message with the faulty line and a caret under the place."""
+    """A message with its line, that line whole, and a caret under the place."""
     rows = source.split("\n")
     row = rows[line - 1] if 0 < line <= len(rows) else ""
-    start = max(0, col - 31)
-    return f"parse error: {message}\n{row[start : start + 60]}\n{' ' * (col - 1 - start)}^\n"
+    return f"{message} at line {line}:\n{row}\n{' ' * max(0, col - 1)}^"
 
 
 def parse_json_callbacks(text: str, comments: bool = False):

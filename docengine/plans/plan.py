@@ -154,9 +154,13 @@ def kernel_rows(df: DataFrame, text: str, plan: Plan, keep: list[str], form: str
 
 
 def extract(df: DataFrame, text: str, spec: str | dict | Plan, keep: list[str] | None = None, form: str = "auto", family: str = "core") -> DataFrame:
-    """Rows of all documents. ``form`` json or yaml takes one leg, auto either by the text."""
+    """Rows of all documents. ``form`` json or yaml takes one leg, auto either by the text; lenient is JSON with comments and raw tabs."""
     plan = spec if isinstance(spec, Plan) else compile_plan(spec)
     keep = [c for c in df.columns if c != text] if keep is None else keep
+    if form == "lenient":
+        from docengine.functions.variant import lenient
+
+        df, form = df.withColumn(text, lenient(F.col(text))), "json"
     if form == "json":
         return json_rows(df, text, plan, keep)
     if form != "auto":

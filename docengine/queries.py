@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docengine.functions import compat as js
 from docengine.functions import convert, mutate
 from docengine.functions import resolve as R
+from docengine.functions.variant import Json
 from docengine.operators import emission
 from docengine.operators import navigate as nav
 from docengine.operators import tables
@@ -305,6 +306,40 @@ def accessors_on_variants(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", js.variant_int64(v, "$.k").alias("k"), js.variant_int64(v, "$.z").alias("missing"), js.variant_string(v, "$.z").alias("nothing"))
 
 
+@query(
+    "SELECT CASE WHEN event_id % 2 = 0 THEN 'object' ELSE 'array' END AS root, CASE WHEN event_id % 2 = 0 THEN 'int' ELSE 'null' END AS kind, "
+    "sum(CASE WHEN event_id % 2 = 0 THEN 5 ELSE 3 END)::BIGINT AS members, sum(CASE WHEN event_id % 2 = 0 THEN json_extract_string(props, '$.k')::BIGINT ELSE 0 END)::BIGINT AS k, "
+    "sum(CASE WHEN event_id % 2 = 0 THEN 2.5 ELSE 0 END)::DOUBLE AS d, count(*) FILTER (event_id % 2 = 0) AS yes, "
+    "CASE WHEN event_id % 2 = 0 THEN '[1,\"two\",3.5]' ELSE '' END AS list, CASE WHEN event_id % 2 = 0 THEN '' ELSE 'two' END AS second FROM events GROUP BY ALL"
+)
+def typed_reads(spark, sf_dir):
+    """Objects and arrays by the wrapper: types, lengths, members, items, text of containers, neutral values."""
+    k = F.get_json_object("props", "$.k")
+    doc = F.when(F.col("event_id") % 2 == 0, text('{"k":', k, ',"d":2.5,"b":true,"n":null,"list":[1,"two",3.5]}')).otherwise('[1,"two",null]')
+    j = Json.parse(F.col("doc"))
+    rows = table(spark, sf_dir, "events").select(doc.alias("doc"))
+    by = [j.type().alias("root"), j["k"].type().alias("kind"), j["list"].string().alias("list"), j[1].string().alias("second")]
+    yes = F.count_if(j["b"].boolean() & j.has("n") & j["list"].is_type("array") & (j["list"][0].int64() == 1)).alias("yes")
+    return rows.groupBy(*by).agg(F.sum(j.length()).alias("members"), F.sum(j["k"].int64()).alias("k"), F.sum(j["d"].double()).alias("d"), yes)
+
+
+@query("SELECT event_type, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS k, count(*) AS n, 'a' || chr(9) || '// b' AS note FROM events GROUP BY event_type")
+def lenient_json_rows(spark, sf_dir):
+    """Comments and raw tabs are taken, and what looks like a comment in a string stays."""
+    k = F.get_json_object("props", "$.k")
+    doc = text('// head\n[{"k": /* a "quoted" word */ ', k, ',\t"note": "a\t// b"} // end\n]')
+    rows = plan.extract(table(spark, sf_dir, "events").select("event_type", doc.alias("doc")), "doc", {"kind": "seq", "children": [leaf("k", "int"), leaf("note", "str")]}, form="lenient")
+    return rows.groupBy("event_type", "note").agg(F.sum("k").alias("k"), count())
+
+
+@query("SELECT o_orderkey, 'map+ key int key int key str key str key seq+ str str seq- map-' AS events FROM orders")
+def visit_order(spark, sf_dir):
+    """Callbacks of a visitor, in order, from the nodes table."""
+    seen = nav.visit(tables.nodes(order_yaml(spark, sf_dir), "doc"), ["o_orderkey"])
+    names = F.transform(F.sort_array(F.collect_list(F.struct("seq", "event"))), lambda e: e["event"])
+    return seen.groupBy("o_orderkey").agg(F.array_join(names, " ").alias("events"))
+
+
 # validation
 
 
