@@ -36,7 +36,7 @@ def kind(value: Column) -> Column:
         F.when(t == "VOID", "null")
         .when(t == "BOOLEAN", "boolean")
         .when(t == "STRING", "string")
-        .when(number & (t.rlike("INT") | (whole == F.floor(whole))), "integer")
+        .when(number & (t.rlike("INT") | (whole % 1 == 0)), "integer")
         .when(number, "number")
         .when(t.startswith("ARRAY"), "array")
         .when(t.startswith("OBJECT"), "object")

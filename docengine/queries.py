@@ -454,10 +454,10 @@ KEYWORDS: dict[str, tuple] = {
     "type_list": (_props(mixed={"type": ["number", "null"]}), [("/mixed", "o_orderkey % 3 = 0")]),
     "enum": (_props(status={"enum": ["O", "F", 1]}), [("/status", f"{S_} NOT IN ('O', 'F')")]),
     "const": (_props(dims={"const": {"b": 2.0, "a": 3}}), [("/dims", "NOT (o_orderkey % 7 = 3 AND o_orderkey % 5 = 2)")]),
-    "maximum": (_props(key={"maximum": 3000}), [("/key", "o_orderkey > 3000")]),
-    "exclusive_maximum": (_props(key={"exclusiveMaximum": 3000}), [("/key", "o_orderkey >= 3000")]),
-    "minimum": (_props(key={"minimum": 3000}), [("/key", "o_orderkey < 3000")]),
-    "exclusive_minimum": (_props(key={"exclusiveMinimum": 3000}), [("/key", "o_orderkey <= 3000")]),
+    "maximum": (_props(key={"maximum": 300}), [("/key", "o_orderkey > 300")]),
+    "exclusive_maximum": (_props(key={"exclusiveMaximum": 300}), [("/key", "o_orderkey >= 300")]),
+    "minimum": (_props(key={"minimum": 300}), [("/key", "o_orderkey < 300")]),
+    "exclusive_minimum": (_props(key={"exclusiveMinimum": 300}), [("/key", "o_orderkey <= 300")]),
     "multiple_of": (_props(mixed={"multipleOf": 0.5}, key={"multipleOf": 3}), [("/key", "o_orderkey % 3 <> 0")]),
     "max_length": (_props(prio={"maxLength": 6}), [("/prio", f"length({P_}) > 6")]),
     "min_length": (_props(prio={"minLength": 7}), [("/prio", f"length({P_}) < 7")]),
@@ -481,16 +481,16 @@ KEYWORDS: dict[str, tuple] = {
     "property_counts": ({"minProperties": 7}, [("", "o_orderkey % 10 = 0")]),
     "max_properties": ({"maxProperties": 6}, [("", "o_orderkey % 10 <> 0")]),
     "dependent_required": ({"dependentRequired": {"key": ["note"], "none": ["other"]}}, [("/note", "o_orderkey % 10 = 0")]),
-    "dependent_schemas": ({"dependentSchemas": {"note": _props(key={"maximum": 3000})}}, [("/key", "o_orderkey % 10 <> 0 AND o_orderkey > 3000")]),
-    "all_of": ({"allOf": [_props(key={"minimum": 100}), _props(key={"maximum": 3000})]}, [("/key", "o_orderkey < 100 OR o_orderkey > 3000")]),
+    "dependent_schemas": ({"dependentSchemas": {"note": _props(key={"maximum": 300})}}, [("/key", "o_orderkey % 10 <> 0 AND o_orderkey > 300")]),
+    "all_of": ({"allOf": [_props(key={"minimum": 100}), _props(key={"maximum": 300})]}, [("/key", "o_orderkey < 100 OR o_orderkey > 300")]),
     "any_of": ({"anyOf": [_props(key={"maximum": 100}), _props(status={"const": "O"})]}, [("", f"o_orderkey > 100 AND {S_} <> 'O'")]),
-    "one_of": ({"oneOf": [_props(key={"maximum": 3000}), _props(status={"const": "O"})]}, [("", f"(o_orderkey <= 3000) = ({S_} = 'O')")]),
+    "one_of": ({"oneOf": [_props(key={"maximum": 300}), _props(status={"const": "O"})]}, [("", f"(o_orderkey <= 300) = ({S_} = 'O')")]),
     "not": ({"not": _props(status={"const": "O"})}, [("", f"{S_} = 'O'")]),
     "if_then_else": (
-        {"if": _props(status={"const": "O"}), "then": _props(key={"maximum": 3000}), "else": _props(key={"minimum": 100})},
-        [("/key", f"CASE WHEN {S_} = 'O' THEN o_orderkey > 3000 ELSE o_orderkey < 100 END")],
+        {"if": _props(status={"const": "O"}), "then": _props(key={"maximum": 300}), "else": _props(key={"minimum": 100})},
+        [("/key", f"CASE WHEN {S_} = 'O' THEN o_orderkey > 300 ELSE o_orderkey < 100 END")],
     ),
-    "ref": ({"$defs": {"small": {"maximum": 3000}, "again": {"$ref": "#/$defs/small"}}, "properties": {"key": {"$ref": "#/$defs/again"}, "dims": False}}, [("/key", "o_orderkey > 3000"), ("/dims", "true")]),
+    "ref": ({"$defs": {"small": {"maximum": 300}, "again": {"$ref": "#/$defs/small"}}, "properties": {"key": {"$ref": "#/$defs/again"}, "dims": False}}, [("/key", "o_orderkey > 300"), ("/dims", "true")]),
 }
 
 

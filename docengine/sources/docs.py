@@ -1,19 +1,21 @@
 """Files of documents as a Spark data source: ``spark.read.format("docs")``.
 
 Options: ``form`` (yaml, json, cbor), ``family``, ``mode`` (PERMISSIVE, DROPMALFORMED, FAILFAST).
-``read_documents`` reads any store that Spark reads, through ``binaryFile``, and is what
-large inputs want; the registered source serves paths that the executors can open, in
-batch and as a stream of new files, and writes documents.
+``read_documents``, ``stream_documents`` and ``write_documents`` work on any store of Spark's own,
+through its file sources, and are what large inputs want; the registered source serves a folder
+that driver and executors share and can open, in batch and as a stream of new files, and writes documents.
 """
 
 from __future__ import annotations
 
 import glob
 import os
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 from docengine.operators import tables
 
@@ -26,6 +28,21 @@ def read_documents(spark: SparkSession, path: str, form: str = "yaml", family: s
     return tables.documents(files.withColumnRenamed("path", "source"), "content", form, family, mode, keep=["source"])
 
 
+def stream_documents(spark: SparkSession, path: str, form: str = "yaml", family: str = "core", mode: str = "PERMISSIVE") -> DataFrame:
+    """The same as a stream of new files, from any store that Spark reads; Spark keeps track of the files."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return tables.documents(files.withColumnRenamed("path", "source"), "content", form, family, mode, keep=["source"])
+
+
+def write_documents(df: DataFrame, column: str, path: str, form: str = "yaml", mode: str = "errorifexists") -> None:
+    """Texts to any store that Spark writes: YAML streams by markers, JSON by lines (texts without line feeds)."""
+    text = F.col(f"`{column}`")
+    if form == "yaml":
+        text = F.when(text.startswith("---"), text).otherwise(F.concat(F.lit("---\n"), text))
+    df.where(F.col(f"`{column}`").isNotNull()).select(F.regexp_replace(text, r"\n\z", "").alias("value")).write.mode(mode).text(path)
+
+
 def rows_of(path: str, options: dict) -> Iterator[tuple]:
     from docengine.functions.tree import to_json
 
@@ -59,21 +76,27 @@ class Reader(DataSourceReader):
         yield from rows_of(partition.path, self.options)
 
 
-class StreamReader(SimpleDataSourceStreamReader):
-    """Offsets count files in the order of their names; new files need later names."""
+class StreamReader(DataSourceStreamReader):
+    """New files of a folder, each read by a task of its own. The offset holds the names that are known, so a late file with an early name is read, and once."""
 
     def __init__(self, options: dict):
         self.options = options
 
     def initialOffset(self):
-        return {"files": 0}
+        return {"files": []}
 
-    def read(self, start):
-        files = files_of(self.options["path"])[start["files"] :]
-        return iter([row for f in files for row in rows_of(f, self.options)]), {"files": start["files"] + len(files)}
+    def latestOffset(self):
+        return {"files": files_of(self.options["path"])}
+
+    def partitions(self, start, end):
+        known = set(start["files"])
+        return [Part(f) for f in end["files"] if f not in known]
+
+    def read(self, partition):
+        yield from rows_of(partition.path, self.options)
 
-    def readBetweenOffsets(self, start, end):
-        return iter([row for f in files_of(self.options["path"])[start["files"] : end["files"]] for row in rows_of(f, self.options)])
+    def commit(self, end):
+        pass
 
 
 class Message(WriterCommitMessage):
@@ -93,7 +116,7 @@ class Writer(DataSourceArrowWriter):
         task = TaskContext.get()
         folder, form = self.options["path"], self.options.get("form", "yaml")
         os.makedirs(folder, exist_ok=True)
-        path = os.path.join(folder, f"_part-{task.partitionId():05d}-{task.taskAttemptId()}.{form}")
+        path = os.path.join(folder, f"_part-{task.partitionId():05d}-{uuid.uuid4().hex}.{form}")
         count = 0
         with open(path, "wb") as f:
             for batch in batches:
@@ -112,12 +135,13 @@ class Writer(DataSourceArrowWriter):
 
     def commit(self, messages):
         folder = self.options["path"]
-        if self.overwrite:
-            for f in files_of(folder):
-                os.remove(f)
+        before = files_of(folder) if self.overwrite else []
         for m in messages:
             if m is not None:
                 os.rename(m.path, os.path.join(folder, os.path.basename(m.path)[1:]))
+        # what was there goes only when the new files are in place; their names are new
+        for f in before:
+            os.remove(f)
 
     def abort(self, messages):
         for m in messages:
@@ -136,7 +160,7 @@ class DocsSource(DataSource):
     def reader(self, schema):
         return Reader(dict(self.options))
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return StreamReader(dict(self.options))
 
     def writer(self, schema, overwrite):

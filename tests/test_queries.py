@@ -108,3 +108,78 @@ def test_sql_names(spark):
     row = spark.sql("SELECT yaml_to_json('a: [1, ~]') j, hex(yaml_to_cbor('a: 1')) c, marshal_to_json(yaml_to_marshal('- 1')) m, is_strict_json('{} x') s, yaml_to_json('[') f").first()
     assert tuple(row) == ('{"a":[1,null]}', "A1616101", "[1]", False, None)
     assert [r[0] for r in spark.sql("SELECT path FROM yaml_nodes('a: {b: 1}') WHERE role = 'value' ORDER BY node_id").collect()] == ["/a", "/a/b"]
+
+
+def test_streams_of_files_and_writer_on_spark_files(spark, tmp_path):
+    """New files in any order of names are read once; what is written comes back."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "m.yaml").write_text("a: 1\n---\nb: 2\n")
+    source.register(spark)
+    for kind, made in (("docs", lambda: spark.readStream.format("docs").load(str(folder))), ("files", lambda: source.stream_documents(spark, str(folder)))):
+        run = lambda made=made, kind=kind: made().select("doc_index", "status").writeStream.format("parquet").option("path", str(tmp_path / kind)).option("checkpointLocation", str(tmp_path / f"{kind}-state")).trigger(availableNow=True).start().awaitTermination()
+        run()
+        early = folder / f"a-{kind}.yaml"
+        early.write_text("c: 3\n")
+        run()
+        assert spark.read.parquet(str(tmp_path / kind)).count() == (3 if kind == "docs" else 4)
+    out = str(tmp_path / "out")
+    source.write_documents(spark.createDataFrame([("x: 1\n",), ("--- y\n",), (None,)], "t string"), "t", out)
+    assert source.read_documents(spark, out).where("status = 0").count() == 2
+
+
+def test_emission_of_nodes_agrees_with_the_trees(spark):
+    """Every shape of document, with repeated and complex keys, as the plain emitter writes it."""
+    from docengine.functions import tree as T
+    from docengine.operators import emission, tables
+
+    texts = [
+        "{}", "[]", "x", "[[], {}, [{}]]", "a: {b: [1, {c: d}], e: {}}\nf: [[1, 2], [3]]\n", "a: [1]\na: [2]\n", "k: 1.50\nl: 1e30\nm: .inf\nn: 0x10\no: ~\np: 'q\"\\'\n",
+        "- true\n- False\n- 99999999999999999999\n- \n", "a/b: {c~d: 1}\n",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "no int, doc string")
+    out = {r["no"]: r["text"] for r in emission.text_of(tables.nodes(docs, "doc"), ["no", "doc_index"]).collect()}
+    assert out == {i: T.to_json(T.load_yaml(t)[0]) for i, t in enumerate(texts)}
+
+
+def test_changes_of_nodes(spark):
+    from docengine.operators import emission, tables
+
+    docs = spark.createDataFrame([(1, "a: {b: 1, c: [1, 2]}\nd: 3\n"), (2, "[]")], "no int, doc string")
+    n = tables.nodes(docs, "doc")
+
+    def after(*edits):
+        frame = spark.createDataFrame(list(edits), "path string, op string, name string, json string")
+        return {r["no"]: r["text"] for r in emission.text_of(emission.changed(n, frame, ["no", "doc_index"]), ["no", "doc_index"]).collect()}
+
+    assert after(("/a", "set", None, "7"), ("/d", "del", None, None)) == {1: '{"a":7}', 2: "[]"}
+    assert after(("/a/b", "del", None, None), ("/a/c", "add", None, '"x"'), ("/a", "add", "z", "{}")) == {1: '{"a":{"c":[1,2,"x"],"z":{}},"d":3}', 2: "[]"}
+    assert after(("", "add", "n", "null")) == {1: '{"a":{"b":1,"c":[1,2]},"d":3,"n":null}', 2: "[null]"}
+    assert after(("/a/c/0", "del", None, None), ("/a", "del", None, None)) == {1: '{"d":3}', 2: "[]"}
+
+
+def test_keywords_agree_with_the_kernel(spark):
+    """Expressions and the kernel on the same schemas and values."""
+    import json
+
+    from docengine.functions import tree as T
+    from docengine.functions import validate as V
+    from docengine.operators.jsonschema import SchemaError, is_valid, problems
+    from pyspark.sql import functions as F
+
+    values = [None, True, 0, 1, 1.5, 3, -2, 9 * 10**19, "", "ab", "abc", [], [1], [1, 1.0], [1, "a", None], {}, {"a": 1}, {"a": "x", "b": [1, {"c": 2}]}, {"b": 1, "a": 1}]
+    schemas = [
+        {"type": ["integer", "array"]}, {"enum": [1, {"a": 1}, "ab"]}, {"minimum": 1, "maximum": 3}, {"exclusiveMinimum": 0, "multipleOf": 1.5}, {"minLength": 1, "maxLength": 2}, {"pattern": "^a.?$"},
+        {"items": {"type": "integer"}, "minItems": 1}, {"uniqueItems": True, "maxItems": 2}, {"prefixItems": [{"type": "integer"}], "items": {"type": "string"}}, {"contains": {"type": "string"}},
+        {"required": ["a"], "properties": {"a": {"type": "integer"}}}, {"additionalProperties": False, "properties": {"a": True}}, {"patternProperties": {"^b": {"type": "array"}}}, {"propertyNames": {"const": "a"}},
+        {"minProperties": 1, "maxProperties": 1}, {"dependentRequired": {"b": ["a"]}}, {"anyOf": [{"type": "string"}, {"type": "integer"}]}, {"oneOf": [{"type": "number"}, {"minimum": 2}]},
+        {"not": {"type": "object"}}, {"if": {"type": "string"}, "then": {"minLength": 3}, "else": {"not": {"const": 0}}}, {"$defs": {"x": {"type": "string"}}, "items": {"$ref": "#/$defs/x"}}, False,
+    ]
+    frame = spark.createDataFrame([(k, json.dumps(v)) for k, v in enumerate(values)], "k int, doc string").withColumn("v", F.parse_json("doc"))
+    made = [is_valid(F.col("v"), s).alias(f"s{i}") for i, s in enumerate(schemas)]
+    for row in frame.select("k", *made).collect():
+        for i, s in enumerate(schemas):
+            found = V.validate_tree(V.compile_schema(s), [T.strict_json(json.dumps(values[row["k"]]))])
+            assert row[f"s{i}"] == (not list(found)), (values[row["k"]], s)
+    with pytest.raises(SchemaError):
+        problems(F.col("v"), {"properties": {"a": {"$ref": "#"}}})
