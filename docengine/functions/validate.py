@@ -29,16 +29,21 @@ MAX_CHAIN = 64
 
 @dataclass
 class Report:
+    """Diagnostics; ``most`` rows, paths of ``path_chars`` and details of ``detail_chars``, None for all."""
+
     rows: list[dict] = field(default_factory=list)
     prefix: str = ""
+    most: int | None = MAX_REPORT
+    path_chars: int | None = 255
+    detail_chars: int | None = 127
 
     def add(self, name: str, node: Node | None, path: str, detail: str) -> None:
-        if len(self.rows) >= MAX_REPORT:
+        if self.most is not None and len(self.rows) >= self.most:
             # the last place tells that more were found
             self.rows[-1] = {"code": CODE["LIMIT"], "name": "LIMIT", "path": "", "detail": "more were found", "line": 0, "col": 0}
             return
         line, col = (node.line, node.col) if node is not None else (0, 0)
-        self.rows.append({"code": CODE[name], "name": name, "path": (self.prefix + path)[:255], "detail": detail[:127], "line": line, "col": col})
+        self.rows.append({"code": CODE[name], "name": name, "path": (self.prefix + path)[: self.path_chars], "detail": detail[: self.detail_chars], "line": line, "col": col})
 
 
 def with_paths(root: Node):
@@ -520,9 +525,9 @@ def count(s: dict, word: str):
     return value if isinstance(value, int | float) and not isinstance(value, bool) and value >= 0 else None
 
 
-def validate_tree(schema: Schema, roots: list[Node]) -> list[dict]:
-    """Diagnostics of each document of a stream against a compiled schema."""
-    report = Report()
+def validate_tree(schema: Schema, roots: list[Node], most: int | None = MAX_REPORT, path_chars: int | None = 255, detail_chars: int | None = 127) -> list[dict]:
+    """Diagnostics of each document of a stream against a compiled schema; None in place of a limit gives all."""
+    report = Report(most=most, path_chars=path_chars, detail_chars=detail_chars)
     for i, root in enumerate(roots):
         report.prefix = f"/{i}" if len(roots) > 1 else ""
         Evaluation(schema, report).apply(schema.root, root, "", "")

@@ -16,7 +16,7 @@ from docengine.functions import tree as tr
 from docengine.functions import yamlparse as Y
 from docengine.functions.cbor import CborError, decode_sequence
 from docengine.functions.validate import Schema, check_family, validate_tree
-from docengine.functions.validate import Report
+from docengine.functions.validate import MAX_REPORT, Report
 
 DOC = "doc_index int"
 DOCUMENTS = "doc_index int, status int, err_line int, err_col int, err_msg string, text string"
@@ -164,15 +164,18 @@ def events(df: DataFrame, column: str, family: str = "core", keep=None) -> DataF
     return expand(df, column, make, EVENTS, keep)
 
 
-def diagnostics(df: DataFrame, column: str, schema: Schema | None = None, family: str = "core", form: str = "yaml", keep=None) -> DataFrame:
-    """Diagnostics of each cell: of a compiled JSON Schema, or without one of the family's rules."""
+def diagnostics(df: DataFrame, column: str, schema: Schema | None = None, family: str = "core", form: str = "yaml", keep=None, most: int | None = MAX_REPORT, path_chars: int | None = 255, detail_chars: int | None = 127) -> DataFrame:
+    """Diagnostics of each cell: of a compiled JSON Schema, or without one of the family's rules.
+
+    ``most`` rows a cell, the last of which tells that there are more, with paths and details of so many characters; None for all.
+    """
 
     def make(value):
         roots = [root for *_, root in decoded(value, form, family, "PERMISSIVE") if root is not None]
         if schema is not None:
-            found = validate_tree(schema, roots)
+            found = validate_tree(schema, roots, most, path_chars, detail_chars)
         else:
-            report = Report()
+            report = Report(most=most, path_chars=path_chars, detail_chars=detail_chars)
             for i, root in enumerate(roots):
                 report.prefix = f"/{i}" if len(roots) > 1 else ""
                 check_family(root, family, report)
