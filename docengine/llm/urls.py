@@ -113,7 +113,7 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES, support: int = 4) ->
     host, path = host_path(F.col("row")[url])
     rows = pages.select(F.struct("*").alias("row")).withColumn("host", host).withColumn("path", path)
     rows = rows.withColumn("best", best_rule(F.col("host"), F.col("path"), rules)).withColumn("shape", symbols(F.col("row")[url]))
-    known = rows.where("host <> ''").groupBy("shape", (F.col("best.verdict") == "allow").alias("allowed")).agg(F.count(F.lit(1)).alias("n"))
+    known = rows.where(F.col("row")[url].contains("://")).groupBy("shape", (F.col("best.verdict") == "allow").alias("allowed")).agg(F.count(F.lit(1)).alias("n"))
     known = materialize(known.withColumn("held", F.substring(F.md5("shape"), 1, 1) < "3"), "urls")
     side = lambda good: F.sum(F.when(~F.col("held") & (F.col("allowed") == good), F.col("n")).otherwise(0))
     counts = known.select("*", F.explode(grams(F.col("shape"))).alias("gram")).groupBy("gram").agg(side(True).alias("good"), side(False).alias("bad"))
@@ -160,7 +160,7 @@ WITH cut AS (
          '{"^" * ORDER}' || regexp_replace(translate(regexp_extract(url, '(?s)\A.*?://(.*)', 1), '{UPPER}123456789', '{LOWER}{"0" * 9}'), '[^a-z0./_-]', '~', 'g') || '$' AS shape
   FROM pages
 ), ruled AS (SELECT *, CASE {rules} END AS best FROM cut),
-known AS (SELECT shape, best.verdict = 'allow' AS allowed, count(*) AS n, left(md5(shape), 1) < '3' AS held FROM ruled WHERE host <> '' GROUP BY ALL),
+known AS (SELECT shape, best.verdict = 'allow' AS allowed, count(*) AS n, left(md5(shape), 1) < '3' AS held FROM ruled WHERE contains(url, '://') GROUP BY ALL),
 positions AS (SELECT shape, substr(shape, i, {ORDER + 1}) AS gram
   FROM (SELECT shape, unnest(range(1, length(shape) - {ORDER} + 1)) AS i FROM (SELECT DISTINCT shape FROM known))),
 counts AS (SELECT gram, sum(CASE WHEN NOT held AND allowed THEN n ELSE 0 END)::BIGINT AS good, sum(CASE WHEN NOT held AND NOT allowed THEN n ELSE 0 END)::BIGINT AS bad

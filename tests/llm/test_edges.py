@@ -117,3 +117,53 @@ def test_html(spark):
         pages = spark.createDataFrame(part, "page_id long, url string, html string, text string")
         out = html.extract(pages).collect()
         assert len(out) == len(part) and all(r["text"] is not None for r in out)
+
+
+def test_one_of_each(spark):
+    """One row of each group: of repeated rows, of rows with one id, of near copies, and of rows without an id."""
+    base = [f"w{k}" for k in range(60)]
+    near = " ".join([*base[:59], "other"])
+    made = [
+        (3, " ".join(base), "a"), (3, " ".join(base), "a"), (9, near, "b"), (None, near, "c"), (None, "alone and without an id at all", "d"), (None, "alone and without an id at all", "d"),
+        (12, "one id with two texts", "e"), (12, "the other text of that id", "f"), (20, None, "g"), (21, "", "g"),
+    ]
+    docs = spark.createDataFrame(made, "doc_id long, text string, root string")
+    out = simhash.one_of_each(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert sorted(str(r["doc_id"]) for r in rows) == ["12", "20", "3", "None"]
+    assert [r["root"] for r in rows if r["doc_id"] is None] == ["d"]
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("split", [2048, 20])
+def test_near_duplicates_in_parts(spark, split):
+    """Groups larger than a part give the components of all pairs: copies of a base that are seldom close to one another."""
+    import random
+
+    rng, texts = random.Random(7), {}
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    for k in range(90):
+        words = list(base)
+        for _ in range(1 + k % 14):
+            words[rng.randrange(120)] = f"x{k}"
+        texts[k] = " ".join(words)
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(116)} for i, t in texts.items()}
+    up = dict.fromkeys(texts)
+    top = lambda i: i if up[i] is None else top(up[i])
+    for i in texts:
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both) and top(i) != top(j):
+                a, b = sorted((top(i), top(j)))
+                up[b] = a
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(frame, split=split).collect()}
+    assert got == {i: top(i) for i in texts} and 1 < len(set(got.values())) < 80
+
+
+def test_urls_with_an_empty_host(spark):
+    """A host that is empty, with :// in the url, is judged by the method."""
+    made = [(1, ":///de/x"), (2, "a:///en/y"), (3, None)] + [(10 + i, f"a://x{i}.fine.org/en/{i}") for i in range(30)] + [(50 + i, f"a://y{i}.b.com/de/{i}") for i in range(30)]
+    out = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(made, "page_id long, url string")).collect()}
+    assert out[1]["host"] == "" and out[1]["path"] == "/de/x" and out[1]["score"] != 0 and out[3]["score"] == 0
