@@ -30,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docengine.llm.batches import bounded
+
 #: Bytes of a leaf of the tree.
 LEAF = 8
 #: Bytes of the largest subtree that is kept.
 SUBTREE = 16
 #: Bytes of all caches of a worker, and what an entry takes beside its key and value.
-CACHE, ENTRY = 160 << 20, 160
+CACHE, ENTRY = 112 << 20, 160
 #: Marks that may follow a word.
 MARKS = ".,;:!?#$%&*|)"
 #: The pattern for which ``encode`` knows where matches begin without matching; others are matched.
@@ -253,6 +255,7 @@ def encoded(docs: DataFrame, text: str = "text", keep_ids: bool = False, path: s
 
     A worker holds one batch of texts and, of what it makes, one text's ids and bytes and ``BATCH`` bytes of results.
     """
+    bounded(docs.sparkSession)
     own_path, own_pattern = default_vocabulary() if path is None else (path, pattern)
     shared, pattern = docs.sparkSession.sparkContext.broadcast(read_ranks(own_path)), pattern or own_pattern
     kept = [c for c in docs.columns if c not in (text, "ids", *ADDED)]

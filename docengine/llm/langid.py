@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docengine.llm.batches import bounded
 from docengine.llm.sampling import smallest
 
 HIDDEN = 8
@@ -212,6 +213,8 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text") -> DataFr
     if net is None:
         return docs.withColumn("language", F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score")))
 
+    bounded(docs.sparkSession)
+
     @F.arrow_udf("lang string, score double")
     def predict(texts: pa.Array) -> pa.Array:
         langs, scores = [], []

@@ -47,6 +47,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docengine.llm.batches import bounded
 from docengine.shared import broadcast_if, materialize, release
 
 #: Words of a shingle and differing bits of a link of the fingerprints of op1.
@@ -656,11 +657,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Rows with equal ids count as one document; a null id is no component's name unless no other is there.
     """
+    bounded(docs.sparkSession)
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     marks = materialize(marked(docs, words, similarity), "marks")
-    firsts = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("s1").alias("s1"), F.min("s2").alias("s2")), "firsts")
+    firsts = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.count(F.lit(1)).alias("rows")), "firsts")
     # a bucket: the sets that share a hash of their prefixes; most have one set and go at once
-    rows = marks.select("fp", "prefix").dropDuplicates(["fp"]).select("fp", F.explode("prefix").alias("key"))
+    again = broadcast_if(firsts.where("rows > 1").select("fp"), BROADCAST)
+    prefixes = marks.select("fp", "prefix")
+    # a set that stands on one row needs no shuffle where the others are few
+    prefixes = prefixes.join(again, "fp", "left_anti").unionByName(prefixes.join(again, "fp", "left_semi").dropDuplicates(["fp"]))
+    rows = prefixes.select("fp", F.explode("prefix").alias("key"))
     order = Window.partitionBy("key").orderBy("fp")
     rows = rows.withColumns({"before": F.lag("fp").over(order), "after": F.lead("fp").over(order), "low": F.first("fp").over(order)})
     buckets = materialize(rows.where("before is not null or after is not null").select("key", "fp", "before", "low"), "buckets")
@@ -679,21 +685,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     # each set with the one before it and with the first: a group of near copies becomes one component
     star = buckets.where("before is not null").select(F.explode(F.array(pair("fp", "before"), pair("fp", "low"))).alias("p")).select("p.*").distinct()
-    star = materialize(close(star, firsts), "star")
+    # the SimHashes of what stands in a bucket
+    sims = materialize(firsts.join(buckets.select("fp").distinct(), "fp", "left_semi").select("fp", "s1", "s2"), "sims")
+    sims = broadcast_if(sims, BROADCAST)
+    star = materialize(close(star, sims), "star")
     sets = sets_for(star.select(F.explode(F.array("a", "b")).alias("fp")))
     found = materialize(similar(star, sets, similarity), "similar")
     release(star, sets)
     # sets that could be linked at all: those that SimHashes and shared hashes connect, through buckets of several components
-    roots = components(found).withColumnRenamed("v", "fp")
-    placed = materialize(buckets.select("key", "fp").join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    rows = placed.join(mixed, "key", "left_semi").join(firsts.select("fp", "s1", "s2"), "fp").select("key", "fp", "s1", "s2")
-    forest = materialize(close_forest(rows, split), "forest")
+    roots = broadcast_if(components(found).withColumnRenamed("v", "fp"), BROADCAST)
+    placed = buckets.select("key", "fp").join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    whole = Window.partitionBy("key")
+    mixed = placed.withColumns({"x": F.min("root").over(whole), "y": F.max("root").over(whole)}).where("x <> y").select("key", "fp")
+    mixed = materialize(mixed, "mixed")
+    release(buckets)
+    forest = materialize(close_forest(mixed.join(sims, "fp").select("key", "fp", "s1", "s2"), split), "forest")
     groups = materialize(components(forest).select(F.col("v").alias("fp"), F.col("root").alias("key")), "candidates")
-    release(placed, buckets, forest)
+    release(mixed, forest)
     now = groups.join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
     open_ = now.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    rows = materialize(now.join(open_, "key", "left_semi").join(firsts.select("fp", "s1", "s2"), "fp"), "open")
+    rows = materialize(now.join(open_, "key", "left_semi").join(sims, "fp"), "open")
     sets = sets_for(rows.select("fp"))
     more = materialize(set_links(rows.join(sets, "fp").select("key", "fp", "root", "s1", "s2", "hashes"), similarity, split), "linked")
     release(rows, sets, groups)
