@@ -11,7 +11,8 @@ counts, and a named licence before ``RESERVED``, which the texts of others conta
 
 Only units that can reach ``least`` are exploded, which loses none: by Cauchy-Schwarz a unit
 that has none of a template's heaviest terms, left over with squares of under ``least`` squared,
-stays below. ``keys`` finds those terms for any templates.
+stays below (``keys``), and so does one whose terms that stand in any template have under
+``least`` squared of the squares of all its weights (``can_reach``), as prose has.
 
 A file without a licence of its own inherits that of the nearest directory above it with
 a licence file: its path is exploded into its ancestor directories, which join the
@@ -220,12 +221,34 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(cut) - 1), lambda i: F.struct(F.array_join(F.slice(cut, 1, i), "/").alias("dir"), i.alias("depth")))
 
 
-def units(text: Column, named: Column, pattern: str) -> Column:
-    """The different units of a text that match ``pattern``."""
+def can_reach(text: Column, templates=None, least: float = LEAST) -> Column:
+    """False only for a unit whose cosine to every template is below ``least``, by the weights of its terms that stand in templates.
+
+    Other terms count as if each stood once, so the bound holds however often they do.
+    """
+    _, idf, other = weights(templates)
+    known = F.array(*map(F.lit, idf))
+    table = F.map_from_arrays(known, F.array(*map(F.lit, idf.values())))
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+
+    def bound(x: Column) -> Column:
+        square = lambda s, t: s + F.pow((1 + F.log(F.size(F.filter(x["terms"], lambda y: y == t)).cast("double"))) * F.element_at(table, t), F.lit(2.0))
+        inside = F.aggregate(x["inside"], F.lit(0.0), square)
+        return (F.size(x["different"]) - F.size(x["inside"])) * F.lit(other * other * least * least) <= (1 - least * least) * inside + 1e-6
+
+    def cut(terms: Column) -> Column:
+        different = F.array_distinct(terms)
+        return let(F.struct(terms.alias("terms"), different.alias("different"), F.array_intersect(different, known).alias("inside")), bound)
+
+    return let(terms_of(text), cut)
+
+
+def units(text: Column, named: Column, pattern: str, templates=None, least: float = LEAST) -> Column:
+    """The different units of a text that match ``pattern`` and ``can_reach`` the bar."""
     none = F.array().cast("array<string>")
     every = F.concat(F.split(text, "\n", -1), F.split(text, BETWEEN, -1), F.when(named, F.array(text)).otherwise(none))
     # a text without any match has no unit
-    return F.when(text.rlike(pattern), F.filter(F.array_distinct(every), lambda x: x.rlike(pattern))).otherwise(none)
+    return F.when(text.rlike(pattern), F.filter(F.array_distinct(every), lambda x: x.rlike(pattern) & can_reach(x, templates, least))).otherwise(none)
 
 
 def first_of(license: Column, score: Column) -> Column:
@@ -238,7 +261,7 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates=Non
     rows = files.select(F.col(f"`{path}`").alias("path"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("path", "text"))
     named = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
-    found = rows.select("key", "path", named.alias("named"), F.explode(units(F.col("text"), named, keys(templates, least))).alias("text"))
+    found = rows.select("key", "path", named.alias("named"), F.explode(units(F.col("text"), named, keys(templates, least), templates, least)).alias("text"))
     found = materialize(found, "license-units")
     best = found.join(matches(found.select("text").distinct(), templates, least), "text")
     best = best.groupBy("key", "path", "named").agg(F.min(first_of(F.col("license"), F.col("score"))).alias("best"))

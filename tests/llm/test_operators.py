@@ -595,3 +595,22 @@ def test_op9_query_and_null_columns(spark, sf, tmp_path):
     assert got == {(None, "MIT"), (None, None), (3, "ISC")}
     alone = licenses.scan(spark.createDataFrame([(None, "Released under the MIT License"), (None, "x")], "path string, text string")).collect()
     assert {r["license"] for r in alone} == {"MIT", None}
+
+
+def test_op9_bound_loses_no_unit(spark):
+    """Mixtures of templates' terms and others, some repeated: what reaches the bar passes, and prose does not."""
+    rows, idf, other = licenses.weights()
+    vectors = defaultdict(dict)
+    for _, key, term, share in rows:
+        vectors[key][term] = share
+    rng, made = random.Random(5), []
+    for _ in range(1500):
+        own = sorted(rng.choice(list(vectors.values())))
+        unit = rng.sample(own, rng.randrange(1, len(own) + 1)) * rng.choice([1, 1, 2]) + [f"w{rng.randrange(9)}" for _ in range(rng.randrange(12))]
+        w = {t: (1 + math.log(n)) * idf.get(t, other) for t, n in Counter(unit).items()}
+        best = max(sum(w.get(t, 0) * s for t, s in v.items()) for v in vectors.values()) / math.sqrt(sum(v * v for v in w.values()))
+        made.append((" ".join(unit), best))
+    prose = " ".join(f"{rng.choice(['the', 'of', 'in', 'and', 'to', 'it', 'for', 'with'])} w{k}" for k in range(100))
+    frame = spark.createDataFrame([*made, (prose, 0.0)], "text string, best double")
+    out = frame.select("best", licenses.can_reach(F.col("text")).alias("ok")).collect()
+    assert all(r["ok"] for r in out if r["best"] >= licenses.LEAST) and not out[-1]["ok"] and sum(r["best"] >= licenses.LEAST for r in out) > 100
