@@ -232,7 +232,7 @@ def can_reach(text: Column, templates=None, least: float = LEAST) -> Column:
     let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
 
     def bound(x: Column) -> Column:
-        square = lambda s, t: s + F.pow((1 + F.log(F.size(F.filter(x["terms"], lambda y: y == t)).cast("double"))) * F.element_at(table, t), F.lit(2.0))
+        square = lambda s, t: s + F.pow((1 + F.log((F.size(x["terms"]) - F.size(F.array_remove(x["terms"], t))).cast("double"))) * F.element_at(table, t), F.lit(2.0))
         inside = F.aggregate(x["inside"], F.lit(0.0), square)
         return (F.size(x["different"]) - F.size(x["inside"])) * F.lit(other * other * least * least) <= (1 - least * least) * inside + 1e-6
 
